@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat_queries, token_queries, vector_queries
+from tidewright.llm import chat_queries, text_queries, token_queries, vector_queries
 
-MODULES = [vector_queries, chat_queries, token_queries]
+MODULES = [vector_queries, chat_queries, token_queries, text_queries]
 
 
 def queries() -> dict:
