@@ -1,4 +1,4 @@
-"""Query of operator 9 over the table documents."""
+"""Queries of operators 9 and 10 over the table documents."""
 
 from __future__ import annotations
 
@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.common import table
 from tidewright.llm.jaccard_join import JaccardJoin
+from tidewright.llm.language_id import language_id
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(table(spark, sf_dir, "documents")).groups()
 
 
-QUERIES = {"op9_jaccard_join": op9_jaccard_join}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_language_id": op10_language_id, "op9_jaccard_join": op9_jaccard_join}
 
 ORACLE_SQL = {
     "op9_jaccard_join": """
