@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat_queries, page_queries, text_queries, token_queries, vector_queries
+from tidewright.llm import chat_queries, mixing_queries, page_queries, text_queries, token_queries, vector_queries
 
-MODULES = [vector_queries, page_queries, chat_queries, token_queries, text_queries]
+MODULES = [vector_queries, page_queries, mixing_queries, chat_queries, token_queries, text_queries]
 
 
 def queries() -> dict:
