@@ -18,24 +18,27 @@ and repeated rows are rows like others; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from tidewright.llm.common import small_batches
 
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 24_000
 MAX_LANGUAGES = 200
 #: Symbols of all languages' samples together; with many languages, each gets an equal part.
-ALL_CHARS = 400_000
+ALL_CHARS = 240_000
 STRETCH = 256
 #: Letters an automaton tells apart; rarer ones are one symbol.
 ALPHABET = 126
-LANES = 1 << 17
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits double"
+LANES = 1 << 16
 
 SPACE, OTHER = 0, 1
 
@@ -55,32 +58,31 @@ def sample_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMP
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
     """The suffix automaton of the symbols as a table (state, symbol) -> state; 0 is no state, 1 the start."""
-    table, link, length = [[0] * width, [0] * width], [0, 0], [0, 0]
+    table, link, length = array("i", bytes(8 * width * (len(symbols) + 2))), [0, 0], [0, 0]  # two states a symbol at most
     last = 1
     for c in symbols:
-        now = len(table)
-        table.append([0] * width)
+        now = len(link)
         link.append(1)
         length.append(length[last] + 1)
         p = last
-        while p and not table[p][c]:
-            table[p][c] = now
+        while p and not table[p * width + c]:
+            table[p * width + c] = now
             p = link[p]
         if p:
-            q = table[p][c]
+            q = table[p * width + c]
             if length[p] + 1 == length[q]:
                 link[now] = q
             else:
-                twin = len(table)
-                table.append(table[q].copy())
+                twin = len(link)
+                table[twin * width : (twin + 1) * width] = table[q * width : (q + 1) * width]
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p and table[p][c] == q:
-                    table[p][c] = twin
+                while p and table[p * width + c] == q:
+                    table[p * width + c] = twin
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    return np.array(table, np.int32)
+    return np.frombuffer(table, np.int32)[: len(link) * width].reshape(-1, width).copy()
 
 
 class Parser:
@@ -108,15 +110,12 @@ class Parser:
             tables.append(np.where(table > 0, table + at, 0))
             at += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(self.width, np.int32)
+        del tables
 
     def symbols(self, text: str) -> np.ndarray:
-        """Letters with single spaces between, none at the ends."""
-        found = self.of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        letter = found > 0
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        found = found[keep]
-        return found[: len(found) - 1] if len(found) and found[-1] == SPACE else found
+        """Letters with single spaces between and at the ends, so that whole words match as such; nothing of a text without letters."""
+        found = np.pad(self.of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], 1)
+        return spaced(found, found > 0)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(text, language): phrases of each text's stretches."""
@@ -140,8 +139,8 @@ class Parser:
                     symbols = grid[step, :n]
                     after = self.table[state[:n] * np.int64(self.width) + symbols]
                     miss = after == 0
-                    if step:
-                        count[:n] += miss
+                    if step:  # a symbol that the language doesn't have is a phrase by itself
+                        count[:n] += miss | (state[:n] == start)
                     state[:n] = np.where(miss, fresh[symbols], after)
                 np.add.at(total[:, k], owner, count)
         return total
@@ -160,6 +159,14 @@ class Parser:
         return [self.names[b] if k else "und" for b, k in zip(best, known, strict=True)], score.tolist(), np.where(known, first, 0.0).tolist()
 
 
+def spaced(symbols: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """Each run between letters as its last place; symbols begin and end with a space."""
+    keep = letter.copy()
+    keep[:-1] |= letter[1:]
+    out = symbols[keep]
+    return np.append(out, np.uint8(SPACE)) if len(out) else out
+
+
 _PARSERS: dict[str, Parser] = {}
 
 
@@ -177,17 +184,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, bits) of every row, learned from those that are not held out."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("out", held_out(F.col("id")))
-    samples = sample_texts(rows.where("not out").select("id", "lang", "text"))
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+    """The samples of the labelled rows that are not held out."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return sample_texts(rows.where(~held_out(F.col("id"))))
+
 
-    def predicted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def annotate(rows: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
+    """The rows as they are, with lang_pred_, score_ and bits_ of their texts."""
+    small_batches(rows.sparkSession)
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
-        for frame in frames:
-            for lo in range(0, len(frame), 512):
-                part = frame.iloc[lo : lo + 512]
-                names, scores, bits = parser.predict([t if isinstance(t, str) else None for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["id"].to_numpy(), "held_out": part["out"].to_numpy(), "lang_pred": names, "score": scores, "bits": bits})
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            found = [parser.predict(texts[lo : lo + 512]) for lo in range(0, len(texts), 512)]
+            names, scores, bits = ([x for part in found for x in part[i]] for i in range(3))
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred_", "score_", "bits_"])
+
+    schema = StructType([*rows.schema.fields, StructField("lang_pred_", StringType()), StructField("score_", DoubleType()), StructField("bits_", DoubleType())])
+    return rows.mapInArrow(predicted, schema)
+
 
-    return rows.select("id", "out", "text").mapInPandas(predicted, SCHEMA)
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, bits) of every row, learned from those that are not held out."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = annotate(rows, fitted(docs, id_col, text_col, lang_col))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lang_pred_").alias("lang_pred"), F.col("score_").alias("score"), F.col("bits_").alias("bits"))
