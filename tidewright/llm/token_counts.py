@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewright.llm.pretokens import REMEMBERED, Remembered
+from tidewright.llm.common import small_batches
+from tidewright.llm.pretokens import REMEMBERED, Remembered, counted
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -47,21 +49,23 @@ class WordCounts:
 
 class PieceCounts:
     def __init__(self, path: str) -> None:
-        self.remembered = Remembered(path, len)
+        self.remembered = Remembered(path, counted)
 
     def count(self, text: str) -> int:
         frequencies = Counter(self.remembered.pre.pretokens(text))
-        return sum(map(int.__mul__, self.remembered.of(list(frequencies)), frequencies.values()))
+        return sum(map(mul, self.remembered.of(list(frequencies)), frequencies.values()))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every text. tokenizer: the path of a .json or .model file, the same on every machine."""
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    small_batches(docs.sparkSession)
+
+    def of_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = WordCounts(tokenizer) if tokenizer.endswith(".model") else PieceCounts(tokenizer)
         for frame in frames:
             texts = frame["text_"].fillna("")
             tokens = [counts.count(x) for x in texts]
             yield pd.DataFrame({"doc_id": frame["id_"], "n_bytes": [len(x.encode()) for x in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]})
 
-    return docs.selectExpr(f"cast({id_col} as long) as id_", f"{text_col} as text_").mapInPandas(counted, SCHEMA)
+    return docs.selectExpr(f"cast({id_col} as long) as id_", f"{text_col} as text_").mapInPandas(of_frames, SCHEMA)

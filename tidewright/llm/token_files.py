@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import small_batches
 from tidewright.llm.pretokens import Remembered, loaded, packed
 
 MAGIC = b"TWPACK1\n"
@@ -98,12 +99,14 @@ def filesystem(folder: str):
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, n_files: int, per_block: int = PER_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files and the manifest; the manifest (part, file, n_ids, n_docs), read back."""
 
+    small_batches(docs.sparkSession)
+
     def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         words, doc_ids, sizes, chunks = Remembered(tokenizer, packed), [], [], []
-        width, end = max(1, int(max(words.pre.size - 1, end_id)).bit_length()), packed([end_id])
+        width, end = max(1, int(max(words.pre.size - 1, end_id)).bit_length()), np.array([end_id], "<u4").tobytes()
         for frame in frames:
             doc_ids += [None if null else int(x) for x, null in zip(frame["id_"], frame["id_"].isna(), strict=True)]
             for text in frame["text_"].fillna(""):
