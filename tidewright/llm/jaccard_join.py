@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut
+from tidewright.llm.common import cut, small_batches
 from tidewright.llm.components import components
 from tidewright.llm.shingles import WordHashes, set_digest, shingle_set
 
@@ -37,6 +37,8 @@ NUM, DEN = 3, 4
 BLOCK, LEAF = 4096, 16
 #: Counters of the rarity sketch: four for each document within these bounds, so at most 64 MB in a task and 16 MB as broadcast.
 SKETCH_LEAST, SKETCH_MOST, SKETCH_CHUNK = 1 << 16, 1 << 24, 1 << 14
+#: First buckets of a class that it carries along, so that a pair that meets in many buckets is mostly found once.
+LEADS = 16
 #: Class ids up to which a filter of them is broadcast (16 MB); beyond, it is a shuffled join.
 BROADCAST_IDS = 2_000_000
 FIRST = "doc_id long, pick long, n_shingles long, cls long, points binary, part int, chunk int, counts binary"
@@ -46,8 +48,8 @@ FIRST = "doc_id long, pick long, n_shingles long, cls long, points binary, part
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """The counts by group, a byte each. There are a power of two of groups, near n / 4, and twice as many while a count exceeds a byte."""
-    bits = max(3, (len(shingles) // 6).bit_length())
+    """The counts by group, a byte each. There are a power of two of groups, more than n and 64 at least, and twice as many while a count exceeds a byte."""
+    bits = max(6, len(shingles).bit_length())
     while True:
         counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if counts.max() <= 255:
@@ -95,10 +97,10 @@ class Tree:
         return at
 
 
-def bucket_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int]]:
+def bucket_pairs(key: int, left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int]]:
     """(cls, cls) within left, or between left and right, whose components differ and whose overlap is not bounded away.
 
-    Rows are (cls, comp, n, points). Points of as many groups share a tree; a query with other groups meets it at the fewer of both."""
+    Rows are (cls, comp, n, points, leads); leads are the class's first buckets. A pair that shares one before this bucket was found there. Points of as many groups share a tree; a query with other groups meets it at the fewer of both."""
     trees: dict[int, list[tuple]] = {}
     for row in left if right is None else right:
         trees.setdefault(len(row[3]), []).append(row)
@@ -107,7 +109,7 @@ def bucket_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple
         counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), groups)
         sizes, comps = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
         folded: dict[int, Tree] = {}
-        for cls, comp, n, raw in left:
+        for cls, comp, n, raw, leads in left:
             if NUM * n > DEN * sizes[-1] or NUM * sizes[0] > DEN * n:
                 continue
             common = min(groups, len(raw))
@@ -115,7 +117,7 @@ def bucket_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple
                 folded[common] = Tree(fold(counts, common), sizes)
             at = folded[common].partners(fold(np.frombuffer(raw, np.uint8), common), n)
             for i in at[comps[at] != comp].tolist():
-                if cls != rows[i][0]:
+                if cls != rows[i][0] and not any(x < key and x in rows[i][4] for x in leads):
                     yield (cls, rows[i][0]) if cls < rows[i][0] else (rows[i][0], cls)
 
 
@@ -233,16 +235,17 @@ def _search_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at, sides, found = None, ([], []), set()
 
     def search() -> None:
-        found.update(bucket_pairs(sides[0], sides[1] or None) if at is None or at[1] == at[2] else bucket_pairs(*sides))
+        if at is not None:
+            found.update(bucket_pairs(at[0], sides[0], None if at[1] == at[2] else sides[1]))
         sides[0].clear()
         sides[1].clear()
 
     for frame in frames:
-        for key, i, j, side, *row in frame[["key", "i", "j", "side", "cls", "comp", "n", "points"]].itertuples(index=False, name=None):
+        for key, i, j, side, *row in frame[["key", "i", "j", "side", "cls", "comp", "n", "points", "leads"]].itertuples(index=False, name=None):
             if (key, i, j) != at:
                 search()
                 at = (key, i, j)
-            sides[side].append(tuple(row))
+            sides[side].append((*row[:4], frozenset(row[4].tolist())))
         if len(found) > 100_000:
             yield pd.DataFrame(list(found), columns=["a", "b"])
             found.clear()
@@ -255,6 +258,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.texts = docs.selectExpr(f"cast({id_col} as long) as id_", f"{text_col} as text_", f"xxhash64({id_col}, {text_col}) as pick_")
+        small_batches(docs.sparkSession)
         counters = max(SKETCH_LEAST, min(SKETCH_MOST, 4 * docs.count()))
         self.bits = (counters - 1).bit_length()
         first = cut(self.texts.mapInPandas(_first_scan(self.bits), FIRST), "classes")
@@ -279,7 +283,7 @@ class JaccardJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of those pairs of classes that are similar, by their whole sets."""
         pairs = cut(pairs, "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "pick"), "cls")
+        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(self.classes.select("cls", "pick"), "cls")
         needed = cut(needed.select("cls", F.col("pick").alias("pick_")), "needed")
         texts = self.texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "pick_")
         sets = cut(texts.select("cls", "text_").mapInPandas(_set_scan, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
@@ -293,10 +297,12 @@ class JaccardJoin:
         bucket = Window.partitionBy("key")
         rows = buckets.select("key", "cls").join(linked.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         rows = rows.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket), "many": F.count("*").over(bucket)}).where("first != last and many > 2")
+        rows = cut(rows.select("key", "cls", "comp", "many"), "open")
+        leads = rows.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEADS).alias("leads"))
         rows = rows.withColumn("block", F.floor((F.row_number().over(bucket.orderBy("cls")) - 1) / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "comp")
-        rows = rows.join(self.classes.select("cls", "n", "points"), "cls")
+        rows = rows.join(self.classes.select("cls", "n", "points"), "cls").join(leads, "cls")
         dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return dealt.mapInPandas(_search_buckets, "a long, b long").distinct()
 
