@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import cut, small_batches
+
 from tidewright.llm.dom import BLOCKS, Node, parse
 
 MIN_PAGES, FAN = 3, 64
@@ -303,8 +305,7 @@ def _extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
-    from tidewright.llm.common import cut
-
+    small_batches(pages.sparkSession)
     known = cut(templates(pages).where((F.col("pages") >= MIN_PAGES) & (F.size("kinds") >= MIN_PAGES)).select("host", "template"), "templates")
     size = known.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
     host = F.lower(F.coalesce(F.nullif(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")), "url", F.lit("")))
