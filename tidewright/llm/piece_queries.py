@@ -25,8 +25,9 @@ def encoded(docs: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, n_chars, round_trip): the ids of each text, and whether they decode to the text again."""
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ["doc_id"])
+    """(doc_id, ids_hash, n_tokens, n_chars, round_trip): a digest of each text's ids, and whether they decode to the text again."""
+    rows = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ["doc_id"])
+    return rows.withColumn("ids", F.xxhash64("ids")).withColumnRenamed("ids", "ids_hash")
 
 
 QUERIES = {"op4_sentencepiece": op4_sentencepiece}

@@ -28,17 +28,21 @@ from tidewright.llm.piece_lattice import MARK, START, Chunk, boundary_states, co
 GIANT = 32_768
 CHUNK = 8192
 FAN = 64
+#: Rows that a worker encodes or decodes at once.
+ROWS = 128
 CHUNKS = StructType([StructField("row", StringType()), StructField("chunk", LongType()), *(StructField(x, StringType()) for x in ("before", "own", "after")), StructField("last", BooleanType())])
 
 
 def _small(tokenizer: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(tokenizer).model
-        for batch in batches:
-            texts, ids = batch.column(batch.num_columns - 1).to_pylist(), []
-            for lo in range(0, len(texts), 256):
-                ids += model.encode([t or "" for t in texts[lo : lo + 256]], num_threads=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "ids"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                ids = [np.array(model.encode(t or "", num_threads=1), np.int32) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "ids"])
 
     return encode
 
@@ -146,8 +150,10 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(tokenizer).model
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model.decode(x) if x else "" for x in ids], pa.string())], names=[*batch.schema.names, "decoded_"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                texts = [model.decode(x.values.to_numpy().tolist()) if x.is_valid and len(x.values) else "" for x in batch.column(batch.schema.get_field_index(ids_col))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
 
     return encoded.mapInArrow(decoded, StructType([*encoded.schema.fields, StructField("decoded_", StringType())]))

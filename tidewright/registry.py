@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.plans import ensemble, scalars
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = []
+MODULES: list = [ensemble, scalars]
 
 
 def queries() -> dict[str, Query]:
