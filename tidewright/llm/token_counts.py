@@ -41,6 +41,7 @@ class WordCounts:
         new = [x for x in frequencies if x not in self.known]
         # the model puts a space before what it encodes; the word brings its own, so one is taken off
         self.known.update(zip(new, map(len, self.model.encode([x[1:] for x in new], num_threads=1)), strict=True))
+        self.known[" "] = 1  # a single space at the end is a piece, and there is no text whose own it would be
         total = sum(n * self.known[x] for x, n in frequencies.items())
         if len(self.known) > REMEMBERED:
             self.known.clear()
