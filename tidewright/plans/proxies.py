@@ -65,7 +65,7 @@ MEMBERS = """
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as a grid of 50 columns and 8 steps in time; every value by its place, some missing."""
     p = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(F.floor(p / 50).alias("i"), (p % 50).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(7))).cast("long").alias("k"), p.alias("p"), "p_retailprice")
+    rows = table(spark, sf_dir, "part").select(F.floor(p / 50).alias("i"), (p % 50).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"), p.alias("p"), "p_retailprice")
     value = F.when((F.col("p") * 13 + F.col("k") * 7) % 41 == 0, None).otherwise(F.col("p_retailprice") / 100 + F.col("k") * (F.col("p") % 7) / 10)
     return rows.select("i", "j", "k", value.alias("v"))
 

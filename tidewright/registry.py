@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import ensemble, scalars
+from tidewright.plans import ensemble, grid, scalars, voyage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [ensemble, scalars]
+MODULES: list = [ensemble, scalars, grid, voyage]
 
 
 def queries() -> dict[str, Query]:
