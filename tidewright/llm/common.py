@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task: one such thing at a time, so that those of operators that follow each other don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches that go to Python stop at 8 MB, so that long texts don't pile up in a worker; a setting of the session's own stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

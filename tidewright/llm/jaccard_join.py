@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, small_batches
+from tidewright.llm.common import cut, held, small_batches
 from tidewright.llm.components import components
 from tidewright.llm.shingles import WordHashes, set_digest, shingle_set
 
@@ -39,6 +39,8 @@ BLOCK, LEAF = 4096, 16
 SKETCH_LEAST, SKETCH_MOST, SKETCH_CHUNK = 1 << 16, 1 << 24, 1 << 14
 #: First buckets of a class that it carries along, so that a pair that meets in many buckets is mostly found once.
 LEADS = 16
+#: Pairs a task holds before it hands them on, and counts it compares at once.
+HELD, COMPARED = 50_000, 1 << 21
 #: Class ids up to which a filter of them is broadcast (16 MB); beyond, it is a shuffled join.
 BROADCAST_IDS = 2_000_000
 FIRST = "doc_id long, pick long, n_shingles long, cls long, points binary, part int, chunk int, counts binary"
@@ -57,9 +59,10 @@ def point(shingles: np.ndarray) -> bytes:
         bits += 1
 
 
-def fold(points: np.ndarray, groups: int) -> np.ndarray:
-    """Counts by fewer groups: neighbouring groups are added up."""
-    return points.reshape(*points.shape[:-1], groups, -1).sum(-1, dtype=np.int32)
+def fold(points: np.ndarray, groups: int, most: int = 1 << 31) -> np.ndarray:
+    """Counts by fewer groups: neighbouring groups are added up. most: the largest set's size, which no count exceeds."""
+    kind = np.uint8 if groups == points.shape[-1] else np.uint16 if most < 1 << 16 else np.int32
+    return points.reshape(*points.shape[:-1], groups, -1).sum(-1, dtype=kind)
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -90,7 +93,9 @@ class Tree:
             high, low, top = self.levels[depth]
             at = at[(DEN * top[at] >= NUM * size) & (NUM * low[at] <= DEN * size)]
             least = least_overlap(size, np.maximum(low[at], -(-NUM * size // DEN)))
-            at = at[overlap_bound(high[at], query) >= least]
+            rows = max(1, COMPARED // len(query))
+            bounds = [overlap_bound(high[at[lo : lo + rows]], query) for lo in range(0, len(at), rows)]
+            at = at[np.concatenate(bounds) >= least] if bounds else at
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
@@ -114,8 +119,8 @@ def bucket_pairs(key: int, left: list[tuple], right: list[tuple] | None) -> Iter
                 continue
             common = min(groups, len(raw))
             if common not in folded:
-                folded[common] = Tree(fold(counts, common), sizes)
-            at = folded[common].partners(fold(np.frombuffer(raw, np.uint8), common), n)
+                folded[common] = Tree(fold(counts, common, sizes[-1]), sizes)
+            at = folded[common].partners(fold(np.frombuffer(raw, np.uint8), common, n), n)
             for i in at[comps[at] != comp].tolist():
                 if cls != rows[i][0] and not any(x < key and x in rows[i][4] for x in leads):
                     yield (cls, rows[i][0]) if cls < rows[i][0] else (rows[i][0], cls)
@@ -130,7 +135,7 @@ def _first_scan(bits: int):
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        known, sketch = WordHashes(), np.zeros(1 << bits, np.uint32)
+        known, sketch = held(WordHashes, WordHashes), np.zeros(1 << bits, np.uint32)
         for frame in frames:
             sizes, names, points = [], [], []
             for text in frame["text_"]:
@@ -175,7 +180,7 @@ def _prefix_scan(levels, bits: int):
     """(key, cls): the rarest shingles of each class, as many as a partner must share one of."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, level, done = WordHashes(), levels.value, set()
+        known, level, done = held(WordHashes, WordHashes), levels.value, set()
         for frame in frames:
             keys, names = [], []
             for text in frame["text_"]:
@@ -194,7 +199,7 @@ def _prefix_scan(levels, bits: int):
 
 
 def _set_scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known, done = WordHashes(), set()
+    known, done = held(WordHashes, WordHashes), set()
     for frame in frames:
         for text, cls in zip(frame["text_"], frame["cls"], strict=True):
             if cls not in done:
@@ -234,23 +239,28 @@ def _search_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by bucket and block pair; a bucket may run on into the next frame."""
     at, sides, found = None, ([], []), set()
 
-    def search() -> None:
+    def hand_on() -> pd.DataFrame:
+        pairs = pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+        found.clear()
+        return pairs
+
+    def search() -> Iterator[pd.DataFrame]:
         if at is not None:
-            found.update(bucket_pairs(at[0], sides[0], None if at[1] == at[2] else sides[1]))
+            for pair in bucket_pairs(at[0], sides[0], None if at[1] == at[2] else sides[1]):
+                found.add(pair)
+                if len(found) >= HELD:
+                    yield hand_on()
         sides[0].clear()
         sides[1].clear()
 
     for frame in frames:
         for key, i, j, side, *row in frame[["key", "i", "j", "side", "cls", "comp", "n", "points", "leads"]].itertuples(index=False, name=None):
             if (key, i, j) != at:
-                search()
+                yield from search()
                 at = (key, i, j)
-            sides[side].append((*row[:4], frozenset(row[4].tolist())))
-        if len(found) > 100_000:
-            yield pd.DataFrame(list(found), columns=["a", "b"])
-            found.clear()
-    search()
-    yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+            sides[side].append((*row[:4], tuple(row[4].tolist())))
+    yield from search()
+    yield hand_on()
 
 
 class JaccardJoin:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewright.llm.common import small_batches
+from tidewright.llm.common import held, small_batches
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 24_000
@@ -167,16 +167,10 @@ def spaced(symbols: np.ndarray, letter: np.ndarray) -> np.ndarray:
     return np.append(out, np.uint8(SPACE)) if len(out) else out
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def parser_of(samples: dict[str, str]) -> Parser:
     """Built once a worker from the samples, which are small enough to go with each task."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    return held(key, lambda: Parser(samples))
 
 
 def held_out(doc_id: Column) -> Column:

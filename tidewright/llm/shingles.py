@@ -6,8 +6,8 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-#: Distinct words a task remembers at once; results do not depend on it.
-REMEMBERED = 500_000
+#: Distinct words a worker remembers at once; results do not depend on it.
+REMEMBERED = 100_000
 #: Odd multipliers, one for each place of a shingle.
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
