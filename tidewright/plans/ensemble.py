@@ -250,7 +250,8 @@ def decision_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = summaries(spark, sf_dir).where("complete AND n_f >= 12 AND n_inf >= 3").select("departure")
     rows = offsets(hourly(spark, sf_dir)).join(ready, "departure").select("departure", "member", "kind", "h", "off")
     first = splits(rows, ["departure"])
-    # each of at most thirty members left out in turn
+    # only where there is an hour at all, each of at most thirty members is left out in turn
+    rows = rows.join(first.select("departure"), "departure", "left_semi")
     out = rows.where("kind IN ('feasible', 'infeasible')").select("departure", c("member").alias("without")).distinct()
     others = out.join(rows, "departure").where("member <> without")
     again = splits(others, ["departure", "without"]).select("departure", "without", c("h").alias("h_"), c("high_is_feasible").alias("side_"))
