@@ -45,11 +45,11 @@ def held[T](key: Hashable, make: Callable[[], T]) -> T:
     return _HELD[key]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Batches that go to Python stop at 8 MB, so that long texts don't pile up in a worker; a setting of the session's own stays."""
+def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Batches that go to Python stop at so many megabytes, so that long texts don't pile up in a worker; a setting of the session's own stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
-        spark.conf.set(key, str(8 << 20))
+        spark.conf.set(key, str(megabytes << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

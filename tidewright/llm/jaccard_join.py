@@ -268,7 +268,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.texts = docs.selectExpr(f"cast({id_col} as long) as id_", f"{text_col} as text_", f"xxhash64({id_col}, {text_col}) as pick_")
-        small_batches(docs.sparkSession)
+        small_batches(docs.sparkSession, 2)
         counters = max(SKETCH_LEAST, min(SKETCH_MOST, 4 * docs.count()))
         self.bits = (counters - 1).bit_length()
         first = cut(self.texts.mapInPandas(_first_scan(self.bits), FIRST), "classes")

@@ -186,7 +186,7 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def annotate(rows: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
     """The rows as they are, with lang_pred_, score_ and bits_ of their texts."""
-    small_batches(rows.sparkSession)
+    small_batches(rows.sparkSession, 2)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
