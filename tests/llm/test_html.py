@@ -55,3 +55,16 @@ def test_table(spark):
 
 def test_hosts():
     assert host_of("https://user@WWW.Example.org:80/a?b#c") == "www.example.org" and host_of(None) == "" and host_of("odd") == "odd"
+
+
+def test_wrappers_named_after_a_part_are_kept():
+    article = "<article class='post comments-open'><div class='post-header'><h1>Title</h1></div><p>The text of the article.</p></article>"
+    rest = "<div class=sidebar><p>side</p></div><div id=comments><p>First!</p></div>"
+    for wrap in ("<div class='layout has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div id=page class='has-header'>{}</div>", "<form action=/><input type=hidden>{}</form>", "<div class=sidebar>{}</div>"):
+        assert main_text(f"<body>{wrap.format(article)}{rest}</body>") == "Title\nThe text of the article.", wrap
+        assert main_text(f"<body>{wrap.format('<div><p>A page that marks no article.</p></div>')}{rest}</body>") == "A page that marks no article.", wrap
+    # the head of an article, the one article beside more text than it has, comments longer than the text, teasers beside the text
+    assert main_text("<article><div class=header><h1>Title</h1><span>by A</span></div><p>A text of some length.</p></article>") == "Title\nA text of some length."
+    assert main_text(f"<div class=header>{article}</div><div class=sidebar><p>{'side ' * 99}</p></div>") == "Title\nThe text of the article."
+    assert main_text(f"<main><p>Short</p><div id=comments><p>{'long ' * 99}</p></div></main>") == "Short"
+    assert main_text("<div><p>A text of some length.</p></div><div class=related><article>One</article><article>Two</article></div>") == "A text of some length."

@@ -7,7 +7,8 @@ within tasks first and then over the tasks' partial templates, at most FAN at a
 
 A page's text is taken from its article (article, main, role=main or articleBody elements), or, where it marks none, from the
 smallest region that holds nearly all of its varying text. Left out are template nodes, and roles that are never content: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, by tag, role or class. Paragraphs and headings
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, by tag, role or class. A class or id counts as
+a whole: has-sidebar is no sidebar. What holds the article or most of the page's varying text is kept whatever it is called. Paragraphs and headings
 inside a marked article are its content even where all pages of a host share them; a host's copies of one page aren't its template.
 
 Cases: a null or empty page has empty text; a null url is a host of its own; a host of fewer than MIN_PAGES pages, or whose pages
@@ -43,6 +44,11 @@ NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header hidden login masthead menu menubar modal nav navbar "
     "navigation newsletter notice pager pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside those in a class: share-box is a box for sharing.
+PLAIN_WORDS = frozenset("area articles bar block body bottom box button buttons container form icons inner item items left link links list main outer panel posts primary right row secondary section site slot stories top wrap wrapper".split())
+#: Tags that hold no text of the page, whatever is in them.
+UNSEEN_TAGS = frozenset("script style noscript template iframe object embed svg canvas button select textarea input head title".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments promo related reply sponsored teaser".split())
 NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -55,9 +61,27 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else (url or "")
 
 
-def never(node: Node, in_article: bool) -> bool:
-    """Is the node of a kind that holds no content?"""
+def marks_of(found: dict[str, str]) -> set[str]:
+    """The words of those classes and ids that say one thing only: sidebar and share-box, not has-sidebar or post-header."""
+    out: set[str] = set()
+    for token in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        words = set(WORDS.findall(token))
+        if words <= NEVER_WORDS | ARTICLE_WORDS | PLAIN_WORDS:
+            out |= words
+    return out
+
+
+def is_header(node: Node) -> bool:
+    return node.tag == "header" or ("header" in node.attributes and "header" in marks_of(node.attribute("class", "id")))
+
+
+def never(node: Node, in_article: bool, kept: set[int] = frozenset()) -> bool:
+    """Is the node of a kind that holds no content, and not one of those kept?"""
     tag = node.tag
+    if tag in UNSEEN_TAGS:
+        return True
+    if id(node) in kept:
+        return False
     if tag in NEVER_TAGS or (tag == "header" and not in_article):
         return True
     if not node.attributes or tag in ("html", "body", "main"):
@@ -69,8 +93,17 @@ def never(node: Node, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in NEVER_ROLES:
         return True
-    words = set(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    return bool(words & (ARTICLE_WORDS if tag == "article" else NEVER_WORDS)) and not (tag == "header" and in_article)
+    words = marks_of(found) & (ARTICLE_WORDS if tag == "article" else NEVER_WORDS)
+    return bool(words - {"header"} if in_article else words) and not (tag == "header" and in_article)
+
+
+def holds(node: Node, tag: str) -> bool:
+    return any(x.tag == tag or holds(x, tag) for x in node.children())
+
+
+def is_comments(node: Node) -> bool:
+    """Is the node made of readers' comments? What holds a page's first heading is more than those."""
+    return bool(node.attributes) and node.tag not in ("html", "body", "main") and bool(marks_of(node.attribute("class", "id")) & COMMENT_WORDS) and not holds(node, "h1")
 
 
 # -- templates ------------------------------------------------------------------------------------------------------------------------
@@ -210,32 +243,60 @@ def constant_nodes(root: Node, template: list) -> set[int]:
     return out
 
 
-def find_articles(node: Node, found: list[Node]) -> list[Node]:
+def find_articles(node: Node, found: list[Node], kept: set[int]) -> list[Node]:
     """The outermost elements that mark the article."""
     for child in node.children():
-        if never(child, False):
+        if never(child, False, kept):
             continue
-        marks = child.attribute("role", "itemprop") if child.attributes else {}
-        if child.tag in ("article", "main") or marks.get("role", "").lower() in ("main", "article") or "articlebody" in marks.get("itemprop", "").lower():
-            inner = find_articles(child, []) if child.tag != "article" else []
+        if child.tag == "article" or is_main(child):
+            inner = find_articles(child, [], kept) if child.tag != "article" else []
             found += [x for x in inner if x.tag == "article"] or [child]
         else:
-            find_articles(child, found)
+            find_articles(child, found, kept)
     return found
 
 
+def is_main(node: Node) -> bool:
+    marks = node.attribute("role", "itemprop") if node.attributes else {}
+    return node.tag == "main" or marks.get("role", "").lower() in ("main", "article") or "articlebody" in marks.get("itemprop", "").lower()
+
+
 def lengths(node: Node, constant: set[int], linked: bool, out: dict[int, int]) -> int:
-    """Characters of varying text outside links, of each node."""
+    """Characters of varying text outside links and comments, of each node."""
     total = 0
     for item in node.items:
         if isinstance(item, str):
             total += 0 if linked else len(item.strip())
-        elif id(item) not in constant and not never(item, False):
+        elif id(item) not in constant and item.tag not in UNSEEN_TAGS and not is_comments(item):
             total += lengths(item, constant, linked or item.tag == "a", out)
     out[id(node)] = total
     return total
 
 
+def content_of(root: Node, constant: set[int]) -> tuple[list[Node], set[int]]:
+    """The elements that mark the article, none where the page marks none, and ids of what is never dropped: what holds them or most of the varying text."""
+    sizes: dict[int, int] = {}
+    total = lengths(root, constant, False, sizes)
+    kept = {x for x, size in sizes.items() if 2 * size > total}
+    articles = find_articles(root, [], kept)
+    if not articles:
+        # an article in what is called a sidebar or the like, unless it is a teaser beside the text
+        inside = [x for x in find_articles(root, [], sizes.keys() - teasers(root, set())) if sizes.get(id(x), 0)]
+        articles = [x for x in inside if is_main(x) or holds(x, "h1")]
+        if not articles and len(inside) == 1 and sizes[id(inside[0])] > len(text_of(root, constant, False, kept)):
+            articles = inside
+    return articles, kept
+
+
+def teasers(node: Node, out: set[int]) -> set[int]:
+    """ids of article elements whose class says that they are adverts, comments or teasers."""
+    for child in node.children():
+        if child.tag == "article" and never(child, False):
+            out.add(id(child))
+        teasers(child, out)
+    return out
+
+
 def smallest_region(root: Node, constant: set[int]) -> Node:
     """The node that holds nearly all varying text and has no child that does."""
     sizes: dict[int, int] = {}
@@ -248,7 +309,7 @@ def smallest_region(root: Node, constant: set[int]) -> Node:
         node = fit[0]
 
 
-def text_of(root: Node, constant: set[int], marked: bool) -> str:
+def text_of(root: Node, constant: set[int], marked: bool, kept: set[int]) -> str:
     blocks: list[str] = []
     inline: list[str] = []
 
@@ -263,7 +324,7 @@ def text_of(root: Node, constant: set[int], marked: bool) -> str:
                 if not in_header:
                     inline.append(item)
                 continue
-            if never(item, marked) or (id(item) in constant and not (marked and item.tag in PROSE)):
+            if never(item, marked, kept) or (id(item) in constant and not (marked and item.tag in PROSE)):
                 if item.tag in BLOCKS:
                     flush()
                 continue
@@ -272,7 +333,7 @@ def text_of(root: Node, constant: set[int], marked: bool) -> str:
             elif item.tag in BLOCKS:
                 flush()
                 # of an article's own header, its headings
-                walk(item, (in_header or item.tag == "header") and item.tag not in HEADINGS)
+                walk(item, (in_header or (id(item) not in kept and is_header(item))) and item.tag not in HEADINGS)
                 flush()
             else:
                 walk(item, in_header)
@@ -287,8 +348,8 @@ def main_text(page: str | None, template: list | None = None) -> str:
         return ""
     root = parse(page)
     constant = constant_nodes(root, template) if template else set()
-    articles = find_articles(root, [])
-    parts = [text_of(x, constant, True) for x in articles] if articles else [text_of(smallest_region(root, constant), constant, False)]
+    articles, kept = content_of(root, constant)
+    parts = [text_of(x, constant, True, kept) for x in articles] if articles else [text_of(smallest_region(root, constant), constant, False, kept)]
     return "\n".join(x for x in parts if x)
 
 
