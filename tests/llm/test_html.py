@@ -68,3 +68,20 @@ def test_wrappers_named_after_a_part_are_kept():
     assert main_text(f"<div class=header>{article}</div><div class=sidebar><p>{'side ' * 99}</p></div>") == "Title\nThe text of the article."
     assert main_text(f"<main><p>Short</p><div id=comments><p>{'long ' * 99}</p></div></main>") == "Short"
     assert main_text("<div><p>A text of some length.</p></div><div class=related><article>One</article><article>Two</article></div>") == "A text of some length."
+
+
+def test_every_varying_slot_of_pages_without_an_article():
+    def page(i):
+        return f"<div>Welcome to the site</div><div><h1>Title {i}</h1><div class=lead>Lead {i}</div><div class=body><div><p>{f'Story {i} ' * 40}</p></div><div>End {i}</div></div></div><div>Impressum</div>"
+
+    def expect(i):
+        return "\n".join([f"Title {i}", f"Lead {i}", f"Story {i} " * 39 + f"Story {i}", f"End {i}"])
+
+    assert main_text("<div><h1>T</h1><div class=lead>L</div><div class=body><p>" + "b " * 99 + "</p></div></div>").startswith("T\nL\nb b")
+    fold, other = Fold(), Fold()
+    for i in range(6):
+        tree = skeleton(parse(page(i)))
+        (fold, other)[i % 2].add(tree, 1, [whole(tree)])
+    fold.add(other.template, other.pages, other.kinds)
+    for i in range(6):
+        assert main_text(page(i), fold.template) == expect(i)

@@ -1,12 +1,12 @@
 """Operator 2, HTML extraction by wrapper induction.
 
 The pages of a host are aligned by simple tree matching: two nodes match if their labels (tag and classes) agree, their children by
-the best order-keeping alignment. Runs of like siblings count as one repeated slot. What all pages of a host have in the same place
+the best order-keeping alignment. Runs of like siblings count as one repeated slot, whose members that all pages have are known. What all pages of a host have in the same place
 with the same text is the host's template; places whose text varies are slots, and slots hold content. The fold over pages is made
 within tasks first and then over the tasks' partial templates, at most FAN at a time, so that a host of any size is never gathered.
 
-A page's text is taken from its article (article, main, role=main or articleBody elements), or, where it marks none, from the
-smallest region that holds nearly all of its varying text. Left out are template nodes, and roles that are never content: menus,
+A page's text is taken from its article (article, main, role=main or articleBody elements), or, where it marks none, from
+all of its slots in page order. Left out are template nodes, and roles that are never content: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, by tag, role or class. A class or id counts as
 a whole: has-sidebar is no sidebar. What holds the article or most of the page's varying text is kept whatever it is called. Paragraphs and headings
 inside a marked article are its content even where all pages of a host share them; a host's copies of one page aren't its template.
@@ -33,8 +33,6 @@ from tidewright.llm.dom import BLOCKS, Node, parse
 MIN_PAGES, FAN = 3, 64
 #: Bytes of templates up to which they are broadcast; beyond, the join is shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Share of a region's varying text that its part must hold to stand for it.
-NEARLY_ALL = 0.8
 PARTIAL = "host string, pages long, kinds array<long>, template string"
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -107,7 +105,7 @@ def is_comments(node: Node) -> bool:
 
 
 # -- templates ------------------------------------------------------------------------------------------------------------------------
-# A template node is [label, hash of its text or None where it varies, children].
+# A template node is [label, hash of its text or None where it varies, children]; a repeated slot adds the hashes of the members that all pages have.
 
 
 def skeleton(node: Node) -> list:
@@ -128,7 +126,8 @@ def skeleton(node: Node) -> list:
     runs: list[list] = []
     for child in children:
         if runs and runs[-1][0] == child[0]:
-            runs[-1] = [child[0], hash_of(f"{runs[-1][1]} {whole(runs[-1])} {whole(child)}"), []]  # a repeated slot
+            members = [*members_of(runs[-1]), whole(child)]
+            runs[-1] = [child[0], hash_of(f"{runs[-1][1]} {whole(runs[-1])} {members[-1]}"), [], members]  # a repeated slot
         else:
             runs.append(child)
     return [node.tag + "".join("." + c for c in sorted(set(classes.split()))), hash_of(" ".join("".join(texts).split())), runs]
@@ -143,6 +142,10 @@ def whole(node: list) -> int:
     return hash_of(f"{node[0]} {node[1]} {[whole(c) for c in node[2]]}") if node[2] else hash_of(f"{node[0]} {node[1]} []")
 
 
+def members_of(node: list) -> list[int]:
+    return node[3] if len(node) > 3 else [whole(node)]
+
+
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of the children of two nodes of one label: matched nodes, and which children pair up."""
     x, y = a[2], b[2]
@@ -167,7 +170,8 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
 
 def common(a: list, b: list) -> list:
     """What two aligned trees share: the nodes of both, with their text where it agrees."""
-    return [a[0], a[1] if a[1] == b[1] else None, [common(a[2][i], b[2][j]) for i, j in match(a, b)[1]]]
+    shared = [a[0], a[1] if a[1] == b[1] else None, [common(a[2][i], b[2][j]) for i, j in match(a, b)[1]]]
+    return [*shared, sorted(set(members_of(a)) & set(members_of(b)))] if len(a) > 3 or len(b) > 3 else shared
 
 
 class Fold:
@@ -236,6 +240,8 @@ def constant_nodes(root: Node, template: list) -> set[int]:
                 out.update(map(id, nodes))
             elif len(nodes) == 1:
                 visit(nodes[0], mine, theirs)
+            if len(theirs) > 3 and (members := set(theirs[3])):
+                out.update(id(x) for x, known in zip(nodes, members_of(mine), strict=True) if known in members)
 
     page = skeleton(root)
     if page[0] == template[0]:
@@ -297,18 +303,6 @@ def teasers(node: Node, out: set[int]) -> set[int]:
     return out
 
 
-def smallest_region(root: Node, constant: set[int]) -> Node:
-    """The node that holds nearly all varying text and has no child that does."""
-    sizes: dict[int, int] = {}
-    lengths(root, constant, False, sizes)
-    node = root
-    while True:
-        fit = [c for c in node.children() if c.tag in BLOCKS and c.tag not in PROSE - {"section"} and sizes.get(id(c), 0) >= NEARLY_ALL * max(1, sizes[id(node)])]
-        if not fit:
-            return node
-        node = fit[0]
-
-
 def text_of(root: Node, constant: set[int], marked: bool, kept: set[int]) -> str:
     blocks: list[str] = []
     inline: list[str] = []
@@ -349,7 +343,7 @@ def main_text(page: str | None, template: list | None = None) -> str:
     root = parse(page)
     constant = constant_nodes(root, template) if template else set()
     articles, kept = content_of(root, constant)
-    parts = [text_of(x, constant, True, kept) for x in articles] if articles else [text_of(smallest_region(root, constant), constant, False, kept)]
+    parts = [text_of(x, constant, True, kept) for x in articles] if articles else [text_of(root, constant, False, kept)]
     return "\n".join(x for x in parts if x)
 
 
