@@ -82,3 +82,25 @@ def test_empty_and_missing(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_daylight_within_of_every_event(spark, tmp_path):
+    """Every event has a row, and the answer is that of a scan of the days before, in and after its span by the sun's events."""
+    from datetime import datetime, timedelta
+
+    from tidewright.plans import proxies, scalars
+
+    rows = [(i, i * 7, "x", float(i), datetime(2024, 6, 1) + timedelta(hours=37 * i, minutes=13 * i)) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.event_id: r.any_light for r in scalars.daylight_any_in_window(spark, str(tmp_path)).collect()}
+    day, margin = 86400, 3600
+    spans = proxies.positions(spark, str(tmp_path)).select("event_id", (F.col("lat") + F.col("k")).alias("lat"), "lon", "t", (F.col("t") + F.col("k") * 3600).alias("until"))
+    steps = spans.select("*", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1, 2)])).alias("step")).withColumn("at", F.col("t") + F.col("step") * day)
+    expect = {i: False for i in range(40)}
+    for r in steps.where("at <= until + 86400").withColumn("e", sun.events(F.col("lat"), F.col("lon"), F.col("at"))).collect():
+        if r.e.polar == "day":
+            expect[r.event_id] = True
+        elif r.e.polar == "none":
+            low, high = r.e.sunrise + margin, r.e.sunset - margin
+            expect[r.event_id] |= low <= high and low <= r.until and high >= r.t
+    assert found == expect and set(expect.values()) == {True, False}
