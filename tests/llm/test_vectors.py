@@ -100,3 +100,31 @@ def test_every_node_can_be_reached():
                 seen.add(int(other))
                 todo.append(int(other))
     assert len(seen) >= 0.98 * 700
+
+
+def test_recall_where_a_third_is_one_vector():
+    """A full shard whose entry node is one of many copies: the neighbours of queries outside of the copies are found, and copies by id."""
+    import numpy as np
+    import pandas as pd
+
+    from tidewright.llm.hnsw import SHARD_ROWS, heights_of, search_with
+
+    k, n, rng = 10, SHARD_ROWS, np.random.default_rng(1)
+    # exact in 32 bits; the copies are the tallest third of the nodes, the entry among them
+    ids, x = np.arange(n) * 3 + 1, rng.integers(-64, 65, (n, 16)).astype(float)
+    copies = np.zeros(n, bool)
+    copies[np.argsort(-heights_of(ids), kind="stable")[: n // 3]] = True
+    x[copies] = x[copies][0]
+    x[np.flatnonzero(~copies)[0], 0] = 64
+    asked = np.r_[np.flatnonzero(~copies)[::40], np.flatnonzero(copies)[:3]]
+    frame = pd.DataFrame({"id": ids, "x": list(x)})
+    found = search_with(k, 16, 64, 128)(frame, frame.iloc[asked].reset_index(drop=True))
+    hits = 0
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        best = [j for j in np.lexsort((ids, d)) if j != i][:k]
+        got = found[found["query_id"] == ids[i]].sort_values(["score", "vec_id"])
+        hits += len(set(got["vec_id"]) & set(ids[best]))
+        if copies[i]:
+            assert got["vec_id"].tolist() == ids[best].tolist()
+    assert hits >= 0.95 * k * len(asked)

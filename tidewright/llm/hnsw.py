@@ -1,7 +1,7 @@
 """Operator 7, approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt into shards by hash. Each shard builds its own graph, kept as flat neighbour arrays (level 0: 2m links a node,
-higher levels: m); every query walks the graph of every shard, and the shards' results are merged by exact distance. All walks of a
+Vectors are dealt into shards by hash. Each shard builds its own graph over its distinct vectors, so that copies don't take each other's
+links, and a vector found stands for all rows that have it. The graph is kept as flat neighbour arrays (level 0: 2m links a node, higher levels: m); every query walks the graph of every shard, and the shards' results are merged by exact distance. All walks of a
 block advance together, so numpy works on whole blocks rather than single nodes. Every row is indexed.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part; vectors are only
@@ -25,6 +25,8 @@ LINKS = 16
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 128
 STEP = 256
+#: Components that are compared exactly at once.
+EXACT_BLOCK = 1 << 22
 
 
 def usable_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -153,26 +155,54 @@ def heights_of(ids: np.ndarray, m: int = LINKS) -> np.ndarray:
     return np.minimum(-np.log((h >> np.uint64(11)).astype(np.float64) / 2**53 + 1e-18) / np.log(m), 8).astype(np.int64)
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct vector, in row order, and each row's place among them."""
+    _, first, which = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True)  # -0.0 is 0.0
+    order = np.argsort(first)
+    place = np.empty(len(first), np.int64)
+    place[order] = np.arange(len(first))
+    return first[order], place[which.reshape(-1)]
+
+
+def fewest(x: np.ndarray, k: int) -> np.ndarray:
+    """Which of the rows, sorted by id, can be among the k results of a query: of one vector the first k and one for the query's own row."""
+    which = numbered(x)[1]
+    by = np.argsort(which, kind="stable")
+    nth = np.empty(len(x), np.int64)
+    nth[by] = np.arange(len(x)) - np.searchsorted(which[by], which[by])
+    return nth <= k
+
+
 def search_with(k: int, m: int, build_width: int, search_width: int):
     def one_length(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("id", ignore_index=True)
         exact, asked_exact = np.stack(shard["x"].to_numpy()), np.stack(asked["x"].to_numpy())
+        stay = fewest(exact, k)
+        exact, ids = exact[stay], shard["id"].to_numpy()[stay]
         # distances are kept comparable in 32 bits by scaling the shard to unit size
         size = max(np.abs(exact).max(), np.abs(asked_exact).max())
         points, asked_points = (exact / size).astype(np.float32), (asked_exact / size).astype(np.float32)
-        norms, ids, asked_ids = (points * points).sum(1), shard["id"].to_numpy(), asked["id"].to_numpy()
-        levels, entry = build(points, heights_of(ids, m), m, build_width)
+        # a node of the graph is a vector in 32 bits; rows lists the rows of each
+        nodes, which = numbered(points)
+        points, asked_ids = points[nodes], asked["id"].to_numpy()
+        norms, rows, counts = (points * points).sum(1), np.argsort(which, kind="stable"), np.bincount(which)
+        starts = np.cumsum(counts) - counts
+        levels, entry = build(points, heights_of(ids[nodes], m), m, build_width)
         out = []
         for lo in range(0, len(asked), STEP):
             q = asked_points[lo : lo + STEP]
             q_norm = (q * q).sum(1)
-            at, d = descend(points, norms, levels, len(levels) - 1, entry, q, q_norm, 0, len(ids))
-            near, _ = walk(points, norms, levels[0], q, q_norm, at, d, max(search_width, k + 1), len(ids))
+            at, d = descend(points, norms, levels, len(levels) - 1, entry, q, q_norm, 0, len(nodes))
+            near, _ = walk(points, norms, levels[0], q, q_norm, at, d, max(search_width, k + 1), len(nodes))
             row, col = np.nonzero(near >= 0)
             near, who = near[row, col], row + lo
+            many = counts[near]
+            near = rows[np.repeat(starts[near], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            who = np.repeat(who, many)
             other = ids[near] != asked_ids[who]
             near, who = near[other], who[other]
-            score = np.sqrt(((exact[near] - asked_exact[who]) ** 2).sum(1))
+            step = max(1, EXACT_BLOCK // exact.shape[1])
+            score = np.concatenate([np.empty(0), *(np.sqrt(((exact[near[i : i + step]] - asked_exact[who[i : i + step]]) ** 2).sum(1)) for i in range(0, len(near), step))])
             order = np.lexsort((ids[near], score, who))
             near, who, score = near[order], who[order], score[order]
             place = np.arange(len(who)) - np.searchsorted(who, who)
