@@ -31,16 +31,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one of smallest id stays; of rows that repeat its id, one."""
-    groups = cut(JaccardJoin(docs).groups(), "groups")
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id", "n_shingles").count().where("count > 1").select("doc_id").distinct()
+    """Of each group of texts that links connect, the one of smallest id stays, and of several of that id one; of rows that repeat id and text, one."""
+    groups = cut(JaccardJoin(docs).rows().select("doc_id", F.col("pick").alias("pick_"), "component_id", "comp"), "groups")
+    first = groups.where("doc_id = component_id")
+    shared = first.where("comp is not null").groupBy("comp").agg(F.min("pick_").alias("lead"), F.max("pick_").alias("last")).where("lead != last")
+    also = first.join(shared, "comp").where("pick_ != lead")
+    row = ["doc_id", "pick_"]
+    gone = groups.where("doc_id != component_id").select(row).unionByName(also.select(row)).distinct()
+    few = gone.count() <= BROADCAST_IDS // 2
+    named = docs.withColumn("pick_", F.xxhash64("doc_id", "text"))
+    kept = named.join(F.broadcast(gone) if few else gone, row, "left_anti")
+    repeated = first.groupBy(row).count().where("count > 1").select(row)
     if (n := repeated.count()) == 0:
-        return kept
-    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS // 2 else repeated
+    once = kept.join(repeated, row, "left_semi").dropDuplicates(row)
+    return kept.join(repeated, row, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

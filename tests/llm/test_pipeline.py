@@ -46,3 +46,15 @@ def test_run(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 30
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    """One document of each group stays, whatever ids its texts have."""
+    first, second, third, fourth = (" ".join(f"{word}{i}" for i in range(30)) for word in ("a", "b", "c", "d"))
+    rows = [(1, first), (7, first), (7, second), (8, second + " more"), (9, third), (9, fourth), (9, fourth + " x y"), (10, third.upper()), (10, third.upper()), (11, ""), (11, ""), (None, first)]
+    rows += [(12, "e " + first[::-1]), (12, "e " + first[::-1].upper())]
+    docs = spark.createDataFrame([(d, t, "en", "s", i) for i, (d, t) in enumerate(rows)], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.join_near_copies(spark, docs, "").collect()), key=str)
+    ids = [d for d, _ in kept]
+    assert {(1, first), (7, second), (9, third), (None, first)} <= set(kept) and (7, first) not in kept
+    assert sorted(ids, key=str) == sorted([1, 7, 9, 9, 11, 12, None], key=str)

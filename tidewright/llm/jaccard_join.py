@@ -272,7 +272,7 @@ class JaccardJoin:
         counters = max(SKETCH_LEAST, min(SKETCH_MOST, 4 * docs.count()))
         self.bits = (counters - 1).bit_length()
         first = cut(self.texts.mapInPandas(_first_scan(self.bits), FIRST), "classes")
-        self.docs = first.where("counts is null").select("doc_id", "n_shingles", "cls")
+        self.docs = first.where("counts is null").select("doc_id", "pick", "n_shingles", "cls")
         self.counts = first.where("counts is not null").select("part", "chunk", "counts")
         self.classes = first.where("cls is not null").groupBy("cls").agg(F.min("pick").alias("pick"), F.first("n_shingles").alias("n"), F.first("points").alias("points"))
 
@@ -326,11 +326,15 @@ class JaccardJoin:
 
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
+        return self.rows().select("doc_id", "n_shingles", "component_id")
+
+    def rows(self) -> DataFrame:
+        """(doc_id, pick, n_shingles, component_id, comp) of every row; pick tells its text, comp the group, as groups may share an id."""
         linked = components(self.links()).toDF("cls", "comp")
         named = self.docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
         named = named.join(linked, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         named = cut(named, "named")
         smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-        by_class = named.join(smallest, "comp").select("cls", "component_id")
+        by_class = named.join(smallest, "comp").select("cls", "comp", "component_id")
         found = self.docs.join(by_class, "cls", "left")
-        return found.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        return found.select("doc_id", "pick", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
