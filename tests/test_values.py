@@ -104,3 +104,29 @@ def test_daylight_within_of_every_event(spark, tmp_path):
             low, high = r.e.sunrise + margin, r.e.sunset - margin
             expect[r.event_id] |= low <= high and low <= r.until and high >= r.t
     assert found == expect and set(expect.values()) == {True, False}
+
+
+def test_ranks_over_many_ranges(spark):
+    """Departures are ranked without one task that holds them all."""
+    from tidewright.operators import ensemble
+
+    rows = [(d, d % 7 != 3, d * 13 % 5 + 20, None if d % 11 == 0 else d * 37 % 101, (d * 17 % 10) / 10, None if d % 5 else d) for d in range(3000)]
+    summaries = spark.createDataFrame(rows, "departure long, complete boolean, n_f long, p90_s long, share double, control_s long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # four ranges, not one
+    try:
+        found = ensemble.rank_departures(summaries)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.rdd.glom().filter(len).count() > 1
+
+    def key(row):
+        d, complete, n_f, p90, share, control = row
+        late, bucket = 2**62 if p90 is None else p90, 2 if not complete else 0 if n_f >= 22 else 1
+        by_time = late if bucket == 0 else math.inf if bucket == 1 else 2**62 if control is None else control
+        return bucket, by_time, -share, late, d
+
+    assert [r.departure for r in found.orderBy("rank").collect()] == [r[0] for r in sorted(rows, key=key)]
+    assert sorted(r.rank for r in found.collect()) == list(range(1, 3001))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert ensemble.rank_departures(summaries.limit(0)).count() == 0

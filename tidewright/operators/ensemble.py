@@ -98,15 +98,25 @@ def certificate(expected: int = EXPECTED) -> Column:
 def rank_departures(summaries: DataFrame) -> DataFrame:
     """rank and provisional: the robust departures by time, then the rest by share, then the incomplete ones; NULL ranks worst.
 
-    Ranking is over all departures at once. Their number is that of the departures asked for, not of the members."""
-    everything = Window.partitionBy(F.lit(0))
-    rows = summaries.withColumn("most", F.max(F.when(F.col("complete"), F.col("n_f"))).over(everything))
+    Ranking is over all departures at once: they are sorted in ranges, and a range's ranks follow those of the ranges before it."""
+    most = summaries.agg(F.max(F.when(F.col("complete"), F.col("n_f"))).alias("most"))
+    rows = summaries.crossJoin(F.broadcast(most))
     bucket = F.when(~F.col("complete"), 2).when(F.col("n_f") >= F.col("most") - 2, 0).otherwise(1)
     endless, worst = F.lit(2**62), F.lit(-1.0)
     p90, share = F.coalesce(F.col("p90_s"), endless), F.coalesce(F.col("share"), worst)
     rows = rows.withColumns({"bucket": bucket, "by_time": F.when(bucket == 0, p90).when(bucket == 2, F.coalesce(F.col("control_s"), endless)), "by_share": share, "late": p90})
-    order = everything.orderBy("bucket", F.col("by_time").asc_nulls_last(), F.col("by_share").desc(), "late", "departure")
-    return rows.withColumn("rank", F.row_number().over(order)).withColumn("provisional", ~F.col("complete")).select("departure", "rank", "provisional")
+    order = [F.col("bucket"), F.col("by_time").asc_nulls_last(), F.col("by_share").desc(), F.col("late"), F.col("departure")]
+    ordered = rows.select("departure", "complete", "bucket", "by_time", "by_share", "late").repartitionByRange(*order).sortWithinPartitions(*order)
+    # written once, as ranges drawn anew could differ; an id made in a range has the range's number above 33 bits of the row's
+    ordered = ordered.select("departure", "complete").checkpoint().withColumn("at", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("range", F.shiftright("at", 33))
+    before, total = [F.lit(0).cast("int")], 0
+    sizes = {r["range"]: r["count"] for r in ordered.groupBy("range").count().collect()}  # one row a range
+    for i in range(max(sizes, default=0)):
+        total += sizes.get(i, 0)
+        before.append(F.lit(total).cast("int"))
+    rank = F.element_at(F.array(*before), F.col("range").cast("int") + 1) + F.col("at").bitwiseAND(F.lit(2**33 - 1)).cast("int") + 1
+    return ordered.select("departure", rank.alias("rank"), (~F.col("complete")).alias("provisional"))
 
 
 def worst_first(members: DataFrame, keys: list[str]) -> DataFrame:
