@@ -5,7 +5,7 @@ to the documents' pre-token frequencies and sums. No token ids of a document are
 every (document, pre-token) pair through a shuffle, more bytes than the texts themselves, so the join stays within the task.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; special strings inside texts count as the one token the library makes of
-them; long texts are split in stretches at safe places, never cut; null ids and repeated rows are rows like others; an empty table
+them; long texts are never cut; null ids and repeated rows are rows like others; an empty table
 gives no rows; other columns are not looked at. SentencePiece models take their words, as led by a space, for pre-tokens.
 """
 
