@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, table
+from tidewright.llm.common import cut, table, unused
 from tidewright.llm.jaccard_join import BROADCAST_IDS, JaccardJoin
-from tidewright.llm.language_id import annotate, fitted
+from tidewright.llm.language_id import ADDED, annotate, fitted
 from tidewright.llm.mixing import select_documents
 from tidewright.llm.mixing_queries import SEED, WEIGHTS
 from tidewright.llm.piece_queries import PIECES, encoded
@@ -25,23 +25,24 @@ SHARE = 0.8
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, and longer ones that resemble no learned language, go."""
-    found = annotate(docs, fitted(docs))
-    unlike = (F.col("bits_") > MAX_BITS) & (F.char_length("text") >= MIN_CHARS)
-    return found.where((F.col("lang_pred_") != "und") & ~unlike).select(*docs.columns)
+    lang, _, bits = (F.col(c) for c in unused(docs, *ADDED))
+    unlike = (bits > MAX_BITS) & (F.char_length("text") >= MIN_CHARS)
+    return annotate(docs, fitted(docs)).where((lang != "und") & ~unlike).select(*docs.columns)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that links connect, the one of smallest id stays, and of several of that id one; of rows that repeat id and text, one."""
-    groups = cut(JaccardJoin(docs).rows().select("doc_id", F.col("pick").alias("pick_"), "component_id", "comp"), "groups")
+    pick, = unused(docs, "pick_")
+    groups = cut(JaccardJoin(docs).rows().select("doc_id", F.col("pick").alias(pick), "component_id", "comp"), "groups")
     first = groups.where("doc_id = component_id")
-    shared = first.where("comp is not null").groupBy("comp").agg(F.min("pick_").alias("lead"), F.max("pick_").alias("last")).where("lead != last")
-    also = first.join(shared, "comp").where("pick_ != lead")
-    row = ["doc_id", "pick_"]
+    shared = first.where("comp is not null").groupBy("comp").agg(F.min(pick).alias("lead"), F.max(pick).alias("last")).where("lead != last")
+    also = first.join(shared, "comp").where(F.col(pick) != F.col("lead"))
+    row = ["doc_id", pick]
     gone = groups.where("doc_id != component_id").select(row).unionByName(also.select(row)).distinct()
     few = gone.count() <= BROADCAST_IDS // 2
-    named = docs.withColumn("pick_", F.xxhash64("doc_id", "text"))
+    named = docs.withColumn(pick, F.xxhash64("doc_id", "text"))
     kept = named.join(F.broadcast(gone) if few else gone, row, "left_anti")
-    repeated = first.groupBy(row).count().where("count > 1").select(row)
+    repeated = first.groupBy(row).agg(F.count("*").alias("times")).where("times > 1").select(row)
     if (n := repeated.count()) == 0:
         return kept.select(*docs.columns)
     repeated = F.broadcast(repeated) if n <= BROADCAST_IDS // 2 else repeated

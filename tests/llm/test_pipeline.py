@@ -41,6 +41,18 @@ def test_stages(spark, docs):
     assert all(r.ids == model.encode(texts[r.doc_id]) and r.round_trip for r in docs.collect())
 
 
+def test_columns_of_the_same_names(spark, docs):
+    names = ["lang_pred_", "score_", "bits_", "pick_", "domain_", "Language_", "source_", "times_", "whole_", "last_", "comp", "key", "said_"]
+    odd = docs.selectExpr("*", *[f"doc_id * 0.5 as {x}" for x in names])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, odd = stage(spark, docs, ""), stage(spark, odd, "")
+        assert sorted(plain.select("doc_id").collect(), key=str) == sorted(odd.select("doc_id").collect(), key=str)
+        if name != "sentencepiece":
+            assert odd.columns == [*plain.columns, *names]
+            assert odd.where("domain_ is distinct from doc_id * 0.5 or bits_ is distinct from doc_id * 0.5 or pick_ is distinct from doc_id * 0.5").count() == 0
+        docs = plain
+
+
 def test_run(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 30

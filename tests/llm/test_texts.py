@@ -10,7 +10,7 @@ import pytest
 from tidewright.llm import jaccard_join
 from tidewright.llm.chat_windows import read_back, windows
 from tidewright.llm.components import components
-from tidewright.llm.jaccard_join import JaccardJoin, Tree, fold, least_overlap, overlap_bound, point
+from tidewright.llm.jaccard_join import JaccardJoin, Tree, coarse_bits, dense, fine_bits, fine_bound, groups_of, least_overlap, occupied, overlap_bound, point
 from tidewright.llm.language_id import Parser, automaton, language_id
 from tidewright.llm.mixing import select_documents
 from tidewright.llm.shingles import WordHashes, shingle_set
@@ -56,9 +56,11 @@ def brute_components(rows):
 ODD_TEXTS = ["", None, " \n\t ", "one two", "ONE  two", "one two three", "a b c d e", "A B C D E", "é É", "x " * 5000]
 
 
-@pytest.mark.parametrize("block", [4096, 3])  # 3: buckets go block by block
-def test_join_finds_all_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "candidates", "factor"), [(4096, 4, 8), (3, 4, 8), (3, 1, 2)])  # 3: buckets go block by block; 1: many rounds
+def test_join_finds_all_groups(spark, monkeypatch, block, candidates, factor):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CANDIDATES", candidates)
+    monkeypatch.setattr(jaccard_join, "FACTOR", factor)
     texts = near_copies(4) + ODD_TEXTS
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(7, texts[0]), (7, texts[0]), (None, texts[1]), (None, "alone here without any id at all")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, cls string").repartition(3)
@@ -67,18 +69,38 @@ def test_join_finds_all_groups(spark, monkeypatch, block):
     assert sorted(map(tuple, found.collect()), key=str) == brute_components(rows)
 
 
+def test_names_that_two_sets_share(spark, monkeypatch):
+    """With names of three bits every name is shared; the other half tells sets apart."""
+    whole = jaccard_join.set_digest
+
+    def short(shingles):
+        return whole(shingles)[0] % 8, whole(shingles)[1]
+
+    # workers import the module as it is, so both of its functions that name sets are sent along
+    monkeypatch.setattr(jaccard_join, "set_digest", short)
+    monkeypatch.setattr(jaccard_join, "name_of", lambda s, shared: short(s)[1] if short(s)[0] in shared else short(s)[0])
+    rows = [(i * 3, t) for i, t in enumerate(near_copies(6, 3, 5))]
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(join.shared) > 3
+    assert sorted(map(tuple, join.groups().collect()), key=str) == brute_components(rows)
+
+
 def test_join_of_nothing(spark):
     assert JaccardJoin(spark.createDataFrame([], "doc_id long, text string")).groups().count() == 0
 
 
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(3)
-    for n in (5, 60, 400, 3000):
+    for n in (1, 5, 60, 400, 3000, 70_000):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[: int(0.9 * len(a))], rng.integers(0, 2**63, n // 20 + 1, dtype=np.uint64)]))
-        p, q = (np.frombuffer(point(x), np.uint8) for x in (a, b))
-        groups = min(len(p), len(q))
-        assert overlap_bound(fold(p, groups), fold(q, groups)) >= len(np.intersect1d(a, b))
+        (p, q), shared = map(point, (a, b)), len(np.intersect1d(a, b))
+        for x, raw in ((a, p), (b, q)):
+            assert (groups_of([raw])[0] == (x >> np.uint64(64 - fine_bits(len(x))))).all()
+        bits = min(fine_bits(len(a)), fine_bits(len(b)))
+        assert shared <= fine_bound(occupied(p, len(a), bits), [q, q], fine_bits(len(b)))[1] <= shared + 1 + n // 100
+        groups = min(coarse_bits(len(a)), coarse_bits(len(b)))
+        assert overlap_bound(*(dense([raw], np.array([len(x)]), groups)[0] for x, raw in ((a, p), (b, q)))) >= shared
     points, sizes = rng.integers(0, 4, (100, 64)), np.sort(rng.integers(60, 160, 100))
     for i in range(0, 100, 7):
         fits = (4 * np.minimum(sizes, sizes[i]) >= 3 * np.maximum(sizes, sizes[i])) & (np.minimum(points, points[i]).sum(1) >= least_overlap(sizes[i], sizes))

@@ -139,6 +139,7 @@ def test_encoding_and_decoding(spark):
     ids = encode(spark.createDataFrame(rows, SCHEMA), MODEL, ["doc_id", "n_tokens"], giant=200, chunk=32, fan=3)
     expect = sorted((str(i), model.encode(t or "")) for i, t, *_ in rows)
     assert sorted((str(r.doc_id), r.ids) for r in ids.collect()) == expect
-    texts = decode(ids, MODEL).select("doc_id", "decoded_").collect()
-    assert sorted((str(r.doc_id), r.decoded_) for r in texts) == sorted((str(i), (t or "").replace(MARK, " ")) for i, t, *_ in rows)
+    for decoded in (ids, decode(ids.drop("decoded_"), MODEL)):  # chunk by chunk, and by the library
+        texts = decoded.select("doc_id", "decoded_").collect()
+        assert sorted((str(r.doc_id), r.decoded_) for r in texts) == sorted((str(i), (t or "").replace(MARK, " ")) for i, t, *_ in rows)
     assert encode(spark.createDataFrame([], SCHEMA), MODEL, ["doc_id"]).count() == 0

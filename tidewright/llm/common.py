@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
@@ -10,15 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-        return base
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset and there is one machine (tests)."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not base and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="checkpoints-"))
+    return base or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -52,5 +51,16 @@ def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
         spark.conf.set(key, str(megabytes << 20))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to clash with no column of the frame."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewright.llm.common import held, small_batches
+from tidewright.llm.common import held, small_batches, unused
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 24_000
@@ -41,6 +41,7 @@ ALPHABET = 126
 LANES = 1 << 16
 
 SPACE, OTHER = 0, 1
+ADDED = ("lang_pred_", "score_", "bits_")
 
 
 def sample_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
@@ -185,8 +186,9 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def annotate(rows: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
-    """The rows as they are, with lang_pred_, score_ and bits_ of their texts."""
+    """The rows as they are, followed by the predicted language, its score and the bits a symbol of their texts, under the names lang_pred_, score_ and bits_ or, where rows have such columns, with more underscores."""
     small_batches(rows.sparkSession, 2)
+    names_of = unused(rows, *ADDED)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
@@ -195,9 +197,9 @@ def annotate(rows: DataFrame, samples: dict[str, str], text_col: str = "text") -
             found = [parser.predict(texts[lo : lo + 512]) for lo in range(0, len(texts), 512)]
             names, scores, bits = ([x for part in found for x in part[i]] for i in range(3))
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred_", "score_", "bits_"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names_of])
 
-    schema = StructType([*rows.schema.fields, StructField("lang_pred_", StringType()), StructField("score_", DoubleType()), StructField("bits_", DoubleType())])
+    schema = StructType([*rows.schema.fields, *(StructField(name, kind) for name, kind in zip(names_of, (StringType(), DoubleType(), DoubleType()), strict=True))])
     return rows.mapInArrow(predicted, schema)
 
 

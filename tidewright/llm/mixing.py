@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut
+from tidewright.llm.common import cut, unused
 
 TREE = ["domain", "language", "source"]
 #: Leaves up to which their cuts are broadcast, at some 200 bytes each; beyond, the join is shuffled.
@@ -41,9 +41,10 @@ def domain_of(source: Column, sources_per_domain: int = 5) -> Column:
     return F.when(F.coalesce(number, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("domain"), F.floor(number.try_cast("long") / sources_per_domain).cast("string")))
 
 
-def in_tree(docs: DataFrame) -> DataFrame:
-    """documents with their place in the tree, in columns that clash with none of theirs."""
-    return docs.withColumns({"domain_": domain_of(F.col("source")), "language_": F.coalesce("lang", F.lit("")), "source_": F.coalesce("source", F.lit(""))})
+def in_tree(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """documents with their place in the tree, and the names of those columns, which clash with none of theirs."""
+    names = unused(docs, "domain_", "language_", "source_")
+    return docs.withColumns(dict(zip(names, (domain_of(F.col("source")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))), strict=True))), names
 
 
 def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -108,10 +109,12 @@ def leaf_cuts(rows: DataFrame, weights, share: float, epochs: int, seed: int) ->
 
 
 def select_documents(docs: DataFrame, weights: Mapping[str, Mapping[str, float]], share: float, epochs: int, seed: int) -> DataFrame:
-    """The documents taken, with all their columns and times_: how often, once for each whole epoch and once in the last one's prefix."""
-    placed = in_tree(docs)
-    rows = cut(placed.select(F.col("doc_id").alias("id"), F.col("domain_").alias("domain"), F.col("language_").alias("language"), F.col("source_").alias("source"), words_of(F.col("text")).alias("tokens")), "sizes")
-    cuts = cut(leaf_cuts(rows, weights, share, epochs, seed), "cuts").toDF("domain_", "language_", "source_", "whole_", "last_")
-    joined = placed.join(cuts.hint("broadcast" if cuts.count() <= BROADCAST_LEAVES else "merge"), ["domain_", "language_", "source_"])
-    times = F.col("whole_") + F.when(order_key(seed, F.col("whole_"), F.col("doc_id")) <= F.col("last_"), 1).otherwise(0)
-    return joined.withColumn("times_", times).where("times_ > 0").select(*docs.columns, "domain_", "times_")
+    """The documents taken, with all their columns, followed by their domain and how often they are taken: once for each whole epoch and once in the last
+    one's prefix. These two are domain_ and times_, or have more underscores where documents have such columns."""
+    placed, names = in_tree(docs)
+    rows = placed.select(F.col("doc_id").alias("id"), *[F.col(name).alias(level) for name, level in zip(names, TREE, strict=True)], words_of(F.col("text")).alias("tokens"))
+    whole, last, times = unused(placed, "whole_", "last_", "times_")
+    cuts = cut(leaf_cuts(cut(rows, "sizes"), weights, share, epochs, seed), "cuts").toDF(*names, whole, last)
+    joined = placed.join(cuts.hint("broadcast" if cuts.count() <= BROADCAST_LEAVES else "merge"), names)
+    taken = F.col(whole) + F.when(order_key(seed, F.col(whole), F.col("doc_id")) <= F.col(last), 1).otherwise(0)
+    return joined.withColumn(times, taken).where(F.col(times) > 0).select(*docs.columns, names[0], times)

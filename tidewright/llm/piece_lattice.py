@@ -20,7 +20,7 @@ import numpy as np
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words and pairs remembered by a worker; results do not depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 30_000
 State = tuple[str, int]
 START: State = ("", 0)
 

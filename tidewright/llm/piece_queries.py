@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import table
-from tidewright.llm.sentencepiece_scan import decode, encode
+from tidewright.llm.common import table, unused
+from tidewright.llm.sentencepiece_scan import encode
 
 PIECES = "piece_bpe_32k.model"
 
@@ -16,11 +16,11 @@ def encoded(docs: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
     """The columns of keep, ids, n_tokens, n_chars of the decoded text, and round_trip: whether that is the text again.
 
     Ids are decoded where they were made, so that they take no further way."""
-    rows = encode(docs.withColumn("said_", F.xxhash64(F.coalesce("text", F.lit("")))), tokenizer, [*keep, "said_"])
-    back = decode(rows, tokenizer)
+    said, = unused(docs, "said_")
+    back = encode(docs.withColumn(said, F.xxhash64(F.coalesce("text", F.lit("")))), tokenizer, [*keep, said])
     return back.select(
         *keep, "ids", F.size("ids").cast("long").alias("n_tokens"), F.char_length("decoded_").cast("long").alias("n_chars"),
-        (F.xxhash64("decoded_") == F.col("said_")).alias("round_trip"),
+        (F.xxhash64("decoded_") == F.col(said)).alias("round_trip"),
     )
 
 

@@ -4,7 +4,8 @@ Documents of up to GIANT characters go through the library as they are. A longer
 cluster: each chunk yields the transfer matrix between its boundary states (piece_lattice.py), the matrices of a document combine
 by (max, +) into the states of its best path at every boundary, and each chunk is then traced back on its own. The matrices are small whatever
 the text, and combine associatively: runs of FAN chunks are composed first, then runs of runs, so no task sees a document's chunks all at once.
-Results are the library's own ids.
+Results are the library's own ids. A chunk's ids are decoded where they are made: no piece and no character's bytes run over a chunk's end, so the
+texts of the chunks one after the other are the text of the ids.
 
 Cases: null and empty texts have no ids and decode to an empty text; special strings in texts are text; null ids and repeated rows are rows like others;
 an empty table gives no rows; the columns named in `keep` come along, other columns are not looked at.
@@ -30,6 +31,7 @@ CHUNK = 8192
 FAN = 64
 #: Rows that a worker encodes or decodes at once.
 ROWS = 128
+CHUNKS_PER_TASK = 48
 CHUNKS = StructType([StructField("row", StringType()), StructField("chunk", LongType()), *(StructField(x, StringType()) for x in ("before", "own", "after")), StructField("last", BooleanType())])
 
 
@@ -39,10 +41,9 @@ def _small(tokenizer: str):
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(lo, ROWS)
-                ids = [np.array(model.encode(t or "", num_threads=1), np.int32) for t in batch.column(batch.num_columns - 1).to_pylist()]
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "ids"])
+                ids = [model.encode(t or "", num_threads=1) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                texts = pa.array([model.decode(x) if x else "" for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), texts], names=[*batch.schema.names[:-1], "ids", "decoded_"])
 
     return encode
 
@@ -119,14 +120,16 @@ def _traced(tokenizer: str):
         lattice = loaded(tokenizer)
         for frame in frames:
             ids = [Chunk(lattice, x.before, x.own, x.after, x.chunk == 0, x.last).backtrace(pickle.loads(x.come), pickle.loads(x.go)) for x in frame.itertuples()]
-            yield pd.DataFrame({"row": frame["row"], "chunk": frame["chunk"], "ids": ids})
+            # the model puts a mark before a text, which is no part of it
+            texts = [lattice.text(x, lattice.names)[chunk == 0 :] for x, chunk in zip(ids, frame["chunk"], strict=True)]
+            yield pd.DataFrame({"row": frame["row"], "chunk": frame["chunk"], "ids": ids, "decoded_": texts})
 
     return traced
 
 
 def encode(docs: DataFrame, tokenizer: str, keep: list[str], text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """The columns of `keep` and ids array<int> of every row. tokenizer: the path of a byte-pair .model file, the same on every machine."""
-    small_batches(docs.sparkSession)
+    """The columns of `keep`, ids array<int> of every row, and decoded_, the text those give. tokenizer: the path of a byte-pair .model file, the same on every machine."""
+    small_batches(docs.sparkSession, 2)
     longest = loaded(tokenizer).longest
     if chunk < longest:
         raise ValueError("a chunk must hold the longest piece")
@@ -134,15 +137,17 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], text_col: str = "te
     rows = docs.select(*[F.col(c).alias(k) for k, c in zip(kept, keep, strict=True)], F.col(text_col).alias("text_"))
     fields = [StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]]
     is_giant = F.coalesce(F.char_length("text_") > giant, F.lit(False))
-    small = rows.where(~is_giant).mapInArrow(_small(tokenizer), StructType([*fields, StructField("ids", ArrayType(IntegerType()))]))
+    small = rows.where(~is_giant).mapInArrow(_small(tokenizer), StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded_", StringType())]))
     chunks = cut(rows.where(is_giant).mapInArrow(_cut(chunk, longest), StructType([*fields, *CHUNKS.fields])), "chunks")
-    n = max(1, min(10_000, chunks.count() // 16))
+    n = max(1, min(10_000, chunks.count() // CHUNKS_PER_TASK))
     spread = chunks.drop(*kept).repartition(n, "row", "chunk")
     transfers = cut(spread.mapInPandas(_transfers(tokenizer), "row string, chunk long, matrix binary"), "transfers")
-    traced = chunks.drop(*kept).join(_scan(transfers, fan), ["row", "chunk"]).mapInPandas(_traced(tokenizer), "row string, chunk long, ids array<int>")
-    whole = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select("row", F.flatten("parts.ids").alias("ids"))
-    large = chunks.where("chunk = 0").select("row", *kept).join(whole, "row").select(*kept, "ids")
-    return small.unionByName(large).toDF(*keep, "ids")
+    states = cut(_scan(transfers, fan), "states")
+    traced = cut(chunks.drop(*kept).join(states, ["row", "chunk"]).mapInPandas(_traced(tokenizer), "row string, chunk long, ids array<int>, decoded_ string"), "traced")
+    parts = F.sort_array(F.collect_list(F.struct("chunk", "ids", "decoded_")))
+    whole = traced.groupBy("row").agg(parts.alias("parts")).select("row", F.flatten("parts.ids").alias("ids"), F.array_join("parts.decoded_", "").alias("decoded_"))
+    large = chunks.where("chunk = 0").select("row", *kept).join(whole, "row").select(*kept, "ids", "decoded_")
+    return small.unionByName(large).toDF(*keep, "ids", "decoded_")
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:

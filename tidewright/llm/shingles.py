@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 #: Distinct words a worker remembers at once; results do not depend on it.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: Odd multipliers, one for each place of a shingle.
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
@@ -36,6 +36,7 @@ def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
     return np.unique(mixed)
 
 
-def set_digest(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
+def set_digest(shingles: np.ndarray) -> tuple[int, int]:
+    """A name of the set: both halves of 128 bits, signed."""
+    whole = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (whole & (1 << 64) - 1) - 2**63, (whole >> 64) - 2**63
