@@ -151,6 +151,37 @@ def test_phrases_are_longest_matches():
             assert n == sum(greedy_phrases(s, bytes(parser.symbols(samples[name]))) for s in stretches)
 
 
+def test_letters_of_large_scripts():
+    """Two languages of 900 Han letters each, of which most are common to both, and 5000 letters: no letter stands for another."""
+    rng = random.Random(14)
+    both, own = [chr(0x4E00 + i) for i in range(700)], {"a": [chr(0x5E00 + i) for i in range(200)], "b": [chr(0x6E00 + i) for i in range(200)]}
+
+    def text(lang, n):
+        return "".join(rng.choice(own[lang] if rng.random() < 0.2 else both) for _ in range(n))
+
+    parser = Parser({lang: text(lang, 6000) for lang in own})
+    assert parser.width <= 2 + 62 + 64
+    found = parser.predict([text(lang, 80) for lang in "ab" * 20])[0]
+    assert sum(a == b for a, b in zip(found, "ab" * 20, strict=True)) >= 38
+    many = "".join(chr(0x4E00 + i) for i in range(5000))
+    parser = Parser({"zh": many, "en": "abc abd"})
+    whole = parser.symbols(many)
+    assert len({bytes(whole[i : i + 3]) for i in range(1, len(whole) - 1, 3)} | {bytes(parser.symbols(x)) for x in "abd"}) >= 4940
+    assert list(parser.symbols("ж")) == [0, 1, 0]  # in no sample
+
+
+def test_hundreds_of_languages(spark):
+    """None is left out, and ties go by name."""
+    rows = [(i * 10 + k, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + j)}" for j in range(8)), f"l{i:03}", "") for i in range(300) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = language_id(docs).collect()
+    assert len({r.lang_pred for r in found}) == 300
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(truth[r.doc_id] == r.lang_pred for r in found) > 0.98 * len(rows)
+    parser = Parser({"b": "same text", "a": "same text"})
+    assert parser.predict(["same text"])[0] == ["a"]
+
+
 def test_automaton_knows_all_substrings():
     symbols = [1, 2, 1, 1, 2, 3, 1, 2, 1]
     table = automaton(symbols, 4)
@@ -271,3 +302,20 @@ def test_windows_read_back(spark, budget, history):
     if budget == 100:
         assert any(w.n_repeated > 1 for w in made.collect()) and back[1].formatted_chars > sum(len(t[3]) for t in TURNS if t[0] == 1)
     assert windows(spark.createDataFrame([], turns.schema)).count() == 0
+
+
+@pytest.mark.parametrize(("budget", "history"), [(256, 64), (60, 20)])
+def test_windows_keep_to_the_budget(spark, budget, history):
+    """Unless one turn alone is larger; so a conversation of turns that fit has no window beyond the budget."""
+    rng = random.Random(3)
+    turns = [(c, t, ("system" if t == 0 and c % 2 else "user" if t % 2 else "assistant"), "w " * rng.choice([0, 1, 3, 10, 18, 25])) for c in range(12) for t in range(30)]
+    turns += [(50, 0, "user", "w " * 100), (50, 1, "assistant", "w " * 250), (50, 2, "user", "w " * 250)]
+    made = windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget, history).collect()
+
+    def sizes(w):
+        return [len(part.partition("\n")[2].removesuffix("<|im_end|>\n").split()) + 2 for part in w.formatted.split("<|im_start|>")[1:]]
+
+    for w in made:
+        own = sizes(w)[w.n_repeated :]
+        assert sum(sizes(w)) <= budget or (len(own) == 1 and own[0] + history > budget - 27), (w, sizes(w))
+    assert sum(len(sizes(w)) > 1 for w in made) > len(made) / 2

@@ -57,6 +57,28 @@ def test_topk_of_sparse_terms(spark):
     assert {tuple(r) for r in exact_topk(vectors.where("id % 6 = 0"), vectors, 3, shard_rows=16).collect()} == expect
 
 
+def test_topk_of_large_components(spark):
+    """Every finite vector takes part, whatever its size; scores beyond 64 bits are the nearest that fit."""
+    rows = [(0, [1.0, 1.0]), (1, [1e9, 1.0]), (2, [-1e9, 0.5]), (3, [1e30, 0.0]), (4, [2e30, 0.0]), (5, [3e7, 3e7]), (20, [1e9, 2.0]), (6, [float("nan"), 1e9]), (7, [1e307, 1.0])]
+    vectors = one_row_per_id(sparse_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 64.0))
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_topk(vectors.where("id in (0, 20)"), vectors, 20, shard_rows=3).collect()}
+    ints = {i: [math.floor(64 * x) for x in v] for i, v in rows if i not in (6, 7)}
+    for q in (0, 20):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q)
+        assert [found[q, r + 1] for r in range(len(scored))] == [(c, max(-(2**63), min(2**63 - 1, -s))) for s, c in scored]
+    assert {q for q, _ in found} == {0, 20}
+
+
+def test_neighbours_that_tie_across_shards(spark):
+    """Equal distances go to the smaller id, in whichever shard it is."""
+    rows = [(i, [float(i % 3), 0.0 if i % 2 else 1.0], "", "") for i in range(240)]
+    near = usable_rows(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding")
+    found = nearest_neighbours(near.where("id % 60 = 0"), near, 25, shard_rows=48)
+    exact = {i: v for i, v, *_ in rows if any(v)}
+    expect = {(q, r + 1, c, d) for q in range(0, 240, 60) for r, (d, c) in enumerate(sorted((math.dist(exact[q], exact[c]), c) for c in exact if c != q)[:25])}
+    assert {tuple(r) for r in found.collect()} == expect
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     vectors = one_row_per_id(sparse_rows(none, "vec_id", "embedding", 64.0))
@@ -107,7 +129,7 @@ def test_recall_where_a_third_is_one_vector():
     import numpy as np
     import pandas as pd
 
-    from tidewright.llm.hnsw import SHARD_ROWS, heights_of, search_with
+    from tidewright.llm.hnsw import SHARD_ROWS, graphs_with, heights_of, search_with
 
     k, n, rng = 10, SHARD_ROWS, np.random.default_rng(1)
     # exact in 32 bits; the copies are the tallest third of the nodes, the entry among them
@@ -118,7 +140,8 @@ def test_recall_where_a_third_is_one_vector():
     x[np.flatnonzero(~copies)[0], 0] = 64
     asked = np.r_[np.flatnonzero(~copies)[::40], np.flatnonzero(copies)[:3]]
     frame = pd.DataFrame({"id": ids, "x": list(x)})
-    found = search_with(k, 16, 64, 128)(frame, frame.iloc[asked].reset_index(drop=True))
+    built = graphs_with(k, 16, 48)(frame.assign(shard_=0))
+    found = search_with(k, 16, 128)(built, frame.iloc[asked].reset_index(drop=True))
     hits = 0
     for i in asked:
         d = np.sqrt(((x - x[i]) ** 2).sum(1))

@@ -41,8 +41,13 @@ ORACLE_SQL = {
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
             FROM turns),
         summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY place) - size AS before, 24 + length(e_role) + length(e_text) AS chars FROM sized),
-        cut AS (SELECT *, before // {WINDOW_TOKENS} AS stretch FROM summed),
-        opened AS (SELECT *, coalesce(stretch <> lag(stretch) OVER (PARTITION BY conv_id ORDER BY place), true) AS opens FROM cut),
+        roomy AS (
+            SELECT *, greatest(1, {WINDOW_TOKENS - HISTORY_TOKENS} - coalesce(max(CASE WHEN place = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id), 0)) AS room
+            FROM summed),
+        cut AS (SELECT *, before // room AS stretch, (before + size - 1) // room AS until FROM roomy),
+        opened AS (
+            SELECT *, stretch <> until OR coalesce(stretch <> lag(stretch) OVER o OR lag(stretch) OVER o <> lag(until) OVER o, true) AS opens
+            FROM cut WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
         ahead AS (
             SELECT *, min(CASE WHEN opens THEN before END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_from
             FROM opened),

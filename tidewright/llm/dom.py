@@ -28,6 +28,10 @@ P_CLOSERS = BLOCKS - frozenset("body html li dd dt td th tr tbody thead tfoot op
 P_SCOPE = frozenset("article aside body dd div dt fieldset figure footer form header html li main nav section table td th".split())
 
 
+#: Deepest nesting; an element beyond is an empty neighbour of what it holds.
+DEPTH = 200
+
+
 class Node:
     """An element; items are its children and texts in page order."""
 
@@ -52,6 +56,7 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("html")
     stack, at, n = [root], 0, len(page)
+    beyond: dict[str, int] = {}  # open elements deeper than DEPTH
 
     def close(tags: frozenset, scope: frozenset) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -76,6 +81,10 @@ def parse(page: str) -> Node:
                 stack[-1].items.append(hit[0][9:].removesuffix("]]>"))
             continue
         if hit[1] or hit[4]:
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                stack[-1].items.append(Node(tag))
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -97,5 +106,8 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else n
         elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS and tag in ("path", "circle", "rect", "use")):
-            stack.append(node)
+            if len(stack) < DEPTH:
+                stack.append(node)
+            else:
+                beyond[tag] = beyond.get(tag, 0) + 1
     return root

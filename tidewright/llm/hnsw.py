@@ -1,7 +1,8 @@
 """Operator 7, approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
 Vectors are dealt into shards by hash. Each shard builds its own graph over its distinct vectors, so that copies don't take each other's
-links, and a vector found stands for all rows that have it. The graph is kept as flat neighbour arrays (level 0: 2m links a node, higher levels: m); every query walks the graph of every shard, and the shards' results are merged by exact distance. All walks of a
+links, and a vector found stands for all rows that have it. The graph is kept as flat neighbour arrays (level 0: 2m links a node, higher levels: m), written once to a table in
+the shared folder, a row for each shard. Every query walks the graph of every shard, and the shards' results are merged by exact distance. All walks of a
 block advance together, so numpy works on whole blocks rather than single nodes. Every row is indexed.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part; vectors are only
@@ -16,13 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.blocks import best_per_query, blocks_of, pair_blocks
+from tidewright.llm.blocks import best_per_query, blocks_of, pair_blocks, shard_of
+from tidewright.llm.common import cut
 
 SHARD_ROWS = 4096
 GROUP_ROWS = 8192
 SCHEMA = "query_id long, vec_id long, score double"
+GRAPHS = "shard_ int, length int, ids binary, exact binary, which binary, nodes binary, size double, entry int, links array<binary>"
 LINKS = 16
-BUILD_WIDTH = 64
+BUILD_WIDTH = 48
 SEARCH_WIDTH = 128
 STEP = 256
 #: Components that are compared exactly at once.
@@ -173,26 +176,43 @@ def fewest(x: np.ndarray, k: int) -> np.ndarray:
     return nth <= k
 
 
-def search_with(k: int, m: int, build_width: int, search_width: int):
-    def one_length(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("id", ignore_index=True)
-        exact, asked_exact = np.stack(shard["x"].to_numpy()), np.stack(asked["x"].to_numpy())
-        stay = fewest(exact, k)
-        exact, ids = exact[stay], shard["id"].to_numpy()[stay]
-        # distances are kept comparable in 32 bits by scaling the shard to unit size
-        size = max(np.abs(exact).max(), np.abs(asked_exact).max())
-        points, asked_points = (exact / size).astype(np.float32), (asked_exact / size).astype(np.float32)
-        # a node of the graph is a vector in 32 bits; rows lists the rows of each
-        nodes, which = numbered(points)
-        points, asked_ids = points[nodes], asked["id"].to_numpy()
+def graphs_with(k: int, m: int, width: int):
+    """One row for each vector length of a shard: its vectors and the flat arrays of its graph."""
+
+    def graph(shard: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for length, rows in shard.groupby(shard["x"].map(len)):
+            rows = rows.sort_values("id", ignore_index=True)
+            exact = np.stack(rows["x"].to_numpy())
+            stay = fewest(exact, k)
+            exact, ids = exact[stay], rows["id"].to_numpy()[stay]
+            size = float(np.abs(exact).max())  # distances are kept comparable in 32 bits by scaling the shard to unit size
+            points = (exact / size).astype(np.float32)
+            nodes, which = numbered(points)  # a node of the graph is a vector in 32 bits
+            levels, entry = build(points[nodes], heights_of(ids[nodes], m), m, width)
+            arrays = [ids.astype("<i8"), exact.astype("<f8"), which.astype("<i4"), nodes.astype("<i4")]
+            out.append((shard["shard_"].iloc[0], length, *(x.tobytes() for x in arrays), size, entry, [x.astype("<i4").tobytes() for x in levels]))
+        return pd.DataFrame(out, columns=["shard_", "length", "ids", "exact", "which", "nodes", "size", "entry", "links"])
+
+    return graph
+
+
+def search_with(k: int, m: int, search_width: int):
+    def one_length(graph, asked: pd.DataFrame) -> pd.DataFrame:
+        ids, exact = np.frombuffer(graph.ids, "<i8"), np.frombuffer(graph.exact, "<f8").reshape(-1, graph.length)
+        which, nodes = np.frombuffer(graph.which, "<i4"), np.frombuffer(graph.nodes, "<i4")
+        levels = [np.frombuffer(x, "<i4").reshape(len(nodes), -1) for x in graph.links]
+        asked_exact, asked_ids = np.stack(asked["x"].to_numpy()), asked["id"].to_numpy()
+        with np.errstate(over="ignore"):  # a query far beyond the shard's size is as far from all of it
+            asked_points = np.clip(asked_exact / graph.size, -1e15, 1e15).astype(np.float32)
+        points = (exact[nodes] / graph.size).astype(np.float32)
         norms, rows, counts = (points * points).sum(1), np.argsort(which, kind="stable"), np.bincount(which)
         starts = np.cumsum(counts) - counts
-        levels, entry = build(points, heights_of(ids[nodes], m), m, build_width)
         out = []
         for lo in range(0, len(asked), STEP):
             q = asked_points[lo : lo + STEP]
             q_norm = (q * q).sum(1)
-            at, d = descend(points, norms, levels, len(levels) - 1, entry, q, q_norm, 0, len(nodes))
+            at, d = descend(points, norms, levels, len(levels) - 1, graph.entry, q, q_norm, 0, len(nodes))
             near, _ = walk(points, norms, levels[0], q, q_norm, at, d, max(search_width, k + 1), len(nodes))
             row, col = np.nonzero(near >= 0)
             near, who = near[row, col], row + lo
@@ -209,21 +229,29 @@ def search_with(k: int, m: int, build_width: int, search_width: int):
             out.append(pd.DataFrame({"query_id": asked_ids[who], "vec_id": ids[near], "score": score})[place < k])
         return pd.concat(out)
 
-    def search(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def search(graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})]
         by_length = dict(list(asked.groupby(asked["x"].map(len)))) if len(asked) else {}
-        for length, rows in shard.groupby(shard["x"].map(len)) if len(shard) else ():
-            if length in by_length:
-                out.append(one_length(rows, by_length[length].reset_index(drop=True)))
+        for graph in graphs.itertuples():
+            if graph.length in by_length:
+                out.append(one_length(graph, by_length[graph.length].reset_index(drop=True)))
         return pd.concat(out, ignore_index=True)
 
     return search
 
 
+def graphs(candidates: DataFrame, k: int, m: int = LINKS, build_width: int = BUILD_WIDTH, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """The graphs of all shards as a table in the shared folder, each built once, and the number of shards. k: neighbours that a query may ask for."""
+    n_shards = blocks_of(candidates.count(), shard_rows)
+    dealt = candidates.withColumn("shard_", shard_of("id", n_shards)).repartition(n_shards, "shard_")
+    return cut(dealt.groupBy("shard_").applyInPandas(graphs_with(k, m, build_width), GRAPHS), "graphs"), n_shards
+
+
 def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, m: int = LINKS, build_width: int = BUILD_WIDTH, search_width: int = SEARCH_WIDTH, shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): k near candidates of each query with their Euclidean distances, the row of the query's own id left out.
 
     queries and candidates hold id and x, each id once, vectors finite."""
-    n_shards, n_groups = blocks_of(candidates.count(), shard_rows), blocks_of(queries.count(), group_rows)
-    search = search_with(k, m, build_width, search_width)
-    return best_per_query(pair_blocks(queries, candidates, "id", n_shards, n_groups, search, SCHEMA), k, nearest=True)
+    built, n_shards = graphs(candidates, k, m, build_width, shard_rows)
+    n_groups = blocks_of(queries.count(), group_rows)
+    found = pair_blocks(queries, built, "id", n_shards, n_groups, search_with(k, m, search_width), SCHEMA)
+    return best_per_query(found, k, F.col("score").asc())

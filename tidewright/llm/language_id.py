@@ -8,8 +8,12 @@ Texts are compared as letters: lower case, everything between two letters one sp
 that count from the text's beginning, so a result depends on the text alone; all stretches of a batch, in all languages, advance
 together through the automata's transition tables.
 
-The sample is the only thing that is bounded: SAMPLE_DOCS documents of each language, those of smallest hash, and of these up to
-SAMPLE_CHARS symbols in total (ALL_CHARS over all languages); languages beyond MAX_LANGUAGES in order of their names are not learned.
+Symbols are the samples' letters. If they are more than ALPHABET, the SINGLE most frequent are symbols and each other letter is written as two or
+three digits, as many as all of them need, so that letters of any script stay apart; a letter that no sample has matches nothing.
+
+The sample is the only thing that is bounded, and every label is learned: of each language SAMPLE_DOCS documents, those of smallest hash, of each of
+these the first DOC_CHARS characters, and of these together up to SAMPLE_CHARS symbols. With many languages, these bounds shrink to
+an equal part of ALL_DOCS and ALL_CHARS each, but not under LEAST_DOCS and LEAST_CHARS.
 
 Cases: a null text or one without letters is "und" with score 0; without learned languages every text is; languages that tie go by name; null ids
 and repeated rows are rows like others; an empty table gives no rows; other columns are not looked at.
@@ -28,29 +32,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewright.llm.common import held, small_batches, unused
+from tidewright.llm.common import cut, held, small_batches, unused
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 24_000
-MAX_LANGUAGES = 200
-#: Symbols of all languages' samples together; with many languages, each gets an equal part.
-ALL_CHARS = 240_000
+DOC_CHARS = 480
+#: Symbols and documents of all languages' samples together, and the least for each.
+ALL_CHARS, LEAST_CHARS = 240_000, 200
+ALL_DOCS, LEAST_DOCS = 10_000, 4
 STRETCH = 256
-#: Letters an automaton tells apart; rarer ones are one symbol.
-ALPHABET = 126
+#: Letters that are symbols of their own; if there are more, those that stay so, and the digits that write the others.
+ALPHABET, SINGLE, DIGITS = 126, 62, 64
 LANES = 1 << 16
 
 SPACE, OTHER = 0, 1
 ADDED = ("lang_pred_", "score_", "bits_")
 
 
-def sample_texts(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """language -> sample text, of labelled rows (id, lang, text): bounded in languages, documents and characters."""
+def sample_texts(labelled: DataFrame) -> dict[str, str]:
+    """language -> sample text, of labelled rows (id, lang, text): bounded in documents and characters."""
     keys = labelled.where("lang is not null and text is not null").select("id", "lang", "text", F.xxhash64("id", "text").alias("h"))
-    ranked = keys.select("h", "lang").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs)
-    names = [r[0] for r in ranked.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES).collect()]
-    picked = keys.join(F.broadcast(ranked.where(F.col("lang").isin(names)).select("h", "lang")), ["h", "lang"])  # docs * MAX_LANGUAGES rows at most
-    rows = picked.select("lang", "h", F.substring("text", 1, max(1, 4 * chars // docs)).alias("text")).distinct().orderBy("lang", "h").collect()
+    ranked = keys.select("h", "lang").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+    ranked = cut(ranked, "sample")
+    docs = min(SAMPLE_DOCS, max(LEAST_DOCS, ALL_DOCS // max(1, ranked.where("r = 1").count())))
+    picked = keys.join(F.broadcast(ranked.where(F.col("r") <= docs).select("h", "lang")), ["h", "lang"])  # ALL_DOCS rows, or LEAST_DOCS for each label
+    rows = picked.select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text")).distinct().orderBy("lang", "h").collect()
     out: dict[str, str] = {}
     for row in rows:
         out[row["lang"]] = out.get(row["lang"], "") + " " + row["text"]
@@ -91,16 +97,23 @@ class Parser:
 
     def __init__(self, samples: dict[str, str], chars: int = SAMPLE_CHARS) -> None:
         self.names = sorted(samples)
-        frequent = [c for c, _ in Counter(c for name in self.names for c in samples[name].lower() if c.isalpha()).most_common(ALPHABET)]
-        symbol = {c: i + 2 for i, c in enumerate(sorted(frequent))}
-        self.width = len(symbol) + 2
-        self.of = np.zeros(0x110000, np.uint8)
+        letters = [c for c, _ in sorted(Counter(c for name in self.names for c in samples[name].lower() if c.isalpha()).items(), key=lambda x: (-x[1], x[0]))]
+        single = letters if len(letters) <= ALPHABET else letters[:SINGLE]
+        symbol = {c: (i + 2,) for i, c in enumerate(sorted(single))}
+        rare = letters[len(single) :]
+        digits = 2 if len(rare) <= DIGITS**2 else 3
+        symbol |= {c: tuple(len(single) + 2 + i // DIGITS**d % DIGITS for d in range(digits)[::-1]) for i, c in enumerate(rare)}
+        self.width = len(single) + 2 + (DIGITS if rare else 0)
+        self.of, self.more = np.zeros(0x110000, np.uint8), np.zeros((0x110000, digits - 1), np.uint8) if rare else None
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
                 low = c.lower()
-                self.of[code] = symbol.get(low[0] if low else c, OTHER)
-        chars = min(chars, ALL_CHARS // max(1, len(self.names)))
+                written = symbol.get(low[0] if low else c, (OTHER,))
+                self.of[code] = written[0]
+                if len(written) > 1:
+                    self.more[code] = written[1:]
+        chars = min(chars, max(LEAST_CHARS, ALL_CHARS // max(1, len(self.names))))
         tables, self.log_size, at = [], [], 0
         self.start = []
         for name in self.names:
@@ -115,7 +128,14 @@ class Parser:
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters with single spaces between and at the ends, so that whole words match as such; nothing of a text without letters."""
-        found = np.pad(self.of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], 1)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = self.of[codes]
+        if self.more is not None:
+            written = np.concatenate([found[:, None], self.more[codes]], axis=1)
+            written_at = written > 0
+            written_at[:, 0] = True
+            found = written[written_at]
+        found = np.pad(found, 1)
         return spaced(found, found > 0)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
