@@ -42,9 +42,14 @@ POSITIONS = """
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as ensemble members: thirty to a departure, each with an outcome."""
+    return as_members(table(spark, sf_dir, "orders"))
+
+
+def as_members(orders: DataFrame) -> DataFrame:
+    """The same of a table or a stream of orders."""
     o = F.col("o_orderkey")
     fate, draw = o * 17 % 23, o * 13 % 20
-    rows = table(spark, sf_dir, "orders").select(
+    rows = orders.select(
         F.floor(o / 30).alias("departure"), (o % 30).alias("member"), F.floor("o_totalprice").alias("duration_s"), (o % 3 != 0).alias("daylight"),
         (o * 7 % 100 / 100).alias("beat_share"), (o * 11 % 100 / 100).alias("motor_share"), (o * 19 % 400 / 10).alias("fuel_l"),
         F.when(o * 29 % 97 == 0, None).otherwise(o * 31 % 25 / 10).alias("max_hs"), fate.alias("fate"), draw.alias("draw"),

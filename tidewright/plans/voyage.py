@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import angles as A
 from tidewright.operators import routes as R
 from tidewright.operators import spatial as P
+from tidewright.sources.files import checkpoint_folder
 from tidewright.plans.proxies import BOXES, POSITIONS, STEPS, boxes, positions, steps, table
 
 c = F.col
@@ -18,12 +17,6 @@ BITS = {"motor": 1, "beat": 3, "night": 2}
 SIDE = 40
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """The folder for checkpoints is spark.checkpoint.dir; one of our own where that is unset, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 def rect_mask_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst reason of the rectangles that hold each point."""
     rank = F.when(c("reason") == "land", 3).when(c("reason") == "tss", 2).otherwise(1)
@@ -144,7 +137,7 @@ def isochrone_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of labels over the orders: each label's root and depth."""
-    checkpoints(spark)
+    checkpoint_folder(spark)
     labels = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("label"), F.when(c("o_orderkey") % 100 == 0, None).otherwise(F.floor(c("o_orderkey") / 100) * 100 + F.floor(c("o_orderkey") % 100 / 2)).alias("parent"))
     return R.chains(labels)
 
@@ -160,7 +153,7 @@ def field_edges(spark: SparkSession) -> DataFrame:
 
 def distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances in the field from its first cell, by relaxation until nothing gets nearer."""
-    checkpoints(spark)
+    checkpoint_folder(spark)
     found = R.relaxed(field_edges(spark), spark.createDataFrame([(0, 0.0)], "node long, d double"), SIDE * SIDE)
     return found.select("node", F.round("d", 6).alias("d"))
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import ensemble, grid, scalars, voyage
+from tidewright.plans import ensemble, grid, passage, scalars, voyage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [ensemble, scalars, grid, voyage]
+MODULES: list = [ensemble, scalars, grid, voyage, passage]
 
 
 def queries() -> dict[str, Query]:
