@@ -9,9 +9,14 @@ EXPECTED = 30
 GREEN_HS_CAP = 1.0
 
 
-def nearest_rank(value: str, percent: int, where: Column) -> Column:
-    """The nearest-rank percentile over the rows that count; NULL of none."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY CASE WHEN counts_ THEN {value} END)")
+def nearest_rank(ordered: Column, percent: int) -> Column:
+    """The nearest-rank percentile of an ascending array; NULL of none."""
+    return F.get(ordered, F.greatest(F.lit(1), F.floor((F.size(ordered) * percent + 99) / 100)).cast("int") - 1)
+
+
+def ascending(value: Column) -> Column:
+    """A group's values that are not NULL, in order; groups are the members of one departure."""
+    return F.sort_array(F.collect_list(value))
 
 
 def count_of(kind: str) -> Column:
@@ -43,16 +48,15 @@ def after_rerun(kind: Column, reruns: Column) -> Column:
 
 def summarise(members: DataFrame, keys: list[str], expected: int = EXPECTED) -> DataFrame:
     """One row a departure from (keys, member, kind, duration_s, daylight, beat_share, motor_share, fuel_l, max_hs)."""
-    rows = members.withColumn("counts_", F.col("kind") == "feasible")
-    good = F.col("counts_")
-    out = rows.groupBy(*keys).agg(
+    good, names = F.col("kind") == "feasible", ["duration_s", "beat_share", "motor_share"]
+    out = members.groupBy(*keys).agg(
         F.count("*").alias("n"), count_of("feasible").alias("n_f"), count_of("infeasible").alias("n_inf"), count_of("inconclusive").alias("n_inc"), count_of("error").alias("n_err"),
-        F.max(F.when(good, F.col("duration_s"))).alias("worst_s"), nearest_rank("duration_s", 50, good).cast("long").alias("p50_s"), nearest_rank("duration_s", 90, good).cast("long").alias("p90_s"),
-        nearest_rank("beat_share", 50, good).alias("beat_p50"), nearest_rank("beat_share", 90, good).alias("beat_p90"),
-        nearest_rank("motor_share", 50, good).alias("motor_p50"), nearest_rank("motor_share", 90, good).alias("motor_p90"),
+        F.max(F.when(good, F.col("duration_s"))).alias("worst_s"), F.array(*[F.struct(ascending(F.when(good, F.col(x).cast("double"))).alias("a")) for x in names]).alias("ordered_"),
         F.max(F.when(good, F.col("fuel_l"))).alias("fuel_worst"), F.count_if(good & F.col("daylight")).alias("k_daylight"),
         null_poisoned_max(F.col("max_hs"), good).alias("max_hs"),
     )
+    percentiles = {f"{short}_p{p}" if short else f"p{p}_s": nearest_rank(F.col("ordered_")[i]["a"], p) for i, short in enumerate(["", "beat", "motor"]) for p in (50, 90)}
+    out = out.withColumns(percentiles | {x: percentiles[x].cast("long") for x in ("p50_s", "p90_s")}).drop("ordered_")
     decided = F.col("n_f") + F.col("n_inf")
     return out.withColumns({
         "share": F.when(decided > 0, F.col("n_f") / decided), "inconclusive_share": F.col("n_inc") / expected, "complete": F.col("n") == expected,

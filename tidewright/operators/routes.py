@@ -73,7 +73,7 @@ def front(rows: DataFrame, key: str, costs: list[str]) -> DataFrame:
 
 
 def chains(labels: DataFrame, rounds: int = 32) -> DataFrame:
-    """(label, root, depth) by doubling: each round follows the parent's parent, until all have reached a root (whose parent is NULL).
+    """(label, root, depth) by doubling: each round follows the parent's parent, until all have reached a root (whose parent is NULL); parents in a circle are an error.
 
     Each round is a checkpoint in the shared folder, so the plan doesn't grow."""
     rows = labels.select("label", F.coalesce("parent", "label").alias("to"), F.when(c("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
@@ -81,9 +81,19 @@ def chains(labels: DataFrame, rounds: int = 32) -> DataFrame:
         ahead = rows.select(c("label").alias("to"), c("to").alias("to2"), c("depth").alias("depth2"))
         rows = rows.join(ahead, "to").select("label", c("to2").alias("to"), (c("depth") + c("depth2")).alias("depth"), (c("to") != c("to2")).alias("moved")).checkpoint()
         if rows.where("moved").isEmpty():
-            break
+            return rows.select("label", c("to").alias("root"), "depth")
         rows = rows.drop("moved")
-    return rows.select("label", c("to").alias("root"), "depth")
+    raise ValueError(f"chains are longer than 2 ** {rounds} labels, or go in a circle")
+
+
+def placed(rows: DataFrame, keys: list[str], bucket: Column, order: list) -> DataFrame:
+    """The rows with place, from 1 within their keys in the order: by bucket, a bounded number of which rises with the order, then within it. Keys may be few: no
+    window holds more than a bucket's rows."""
+    rows = rows.withColumn("bucket_", bucket)
+    before = F.sum("n_").over(Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_")).withColumn("before_", F.coalesce(before, F.lit(0))).drop("n_")
+    within = F.row_number().over(Window.partitionBy(*keys, "bucket_").orderBy(*order))
+    return rows.withColumn("within_", within).join(counts, [*keys, "bucket_"]).withColumn("place", (c("before_") + c("within_")).cast("int")).drop("bucket_", "within_", "before_")
 
 
 def relaxed(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import angles as A
 from tidewright.operators import ensemble as E
+from tidewright.sources.files import checkpoint_folder
 from tidewright.plans.proxies import MEMBERS, members, positions, steps, table
 
 c = F.col
@@ -87,7 +88,8 @@ def threshold_rate_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = members(spark, sf_dir).withColumn("counts_", c("kind") == "feasible")
-    return rows.groupBy("departure").agg(*[E.nearest_rank("duration_s", p, c("counts_")).cast("long").alias(f"p{p}") for p in (0, 10, 25, 50, 75, 90, 100)])
+    rows = rows.groupBy("departure").agg(E.ascending(F.when(c("kind") == "feasible", c("duration_s"))).alias("all"))
+    return rows.select("departure", *[E.nearest_rank(c("all"), p).cast("long").alias(f"p{p}") for p in (0, 10, 25, 50, 75, 90, 100)])
 
 
 def percentile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,40 +223,44 @@ OFFSETS = f"""
 
 
 def fan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = offsets(hourly(spark, sf_dir)).where("kind = 'feasible'")
-    band = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY off)").alias(f"p{p}") for p in (0, 10, 50, 90, 100)]
-    return rows.groupBy("departure", "h").agg(F.count("*").alias("n"), *band).where("n >= 3").select("departure", "h", *[f"p{p}" for p in (0, 10, 50, 90, 100)])
+    rows = offsets(hourly(spark, sf_dir)).where("kind = 'feasible'").groupBy("departure", "h").agg(E.ascending(c("off")).alias("all"))
+    return rows.where(F.size("all") >= 3).select("departure", "h", *[E.nearest_rank(c("all"), p).alias(f"p{p}") for p in (0, 10, 50, 90, 100)])
 
 
-def splits(rows: DataFrame, keys: list[str], margin: float = 2.0, concordance: float = 0.75) -> DataFrame:
-    """The first hour at which the classes lie apart by the margin, and which side is the feasible one."""
+def first_split(hours: DataFrame, keys: list[str], margin: float = 2.0, concordance: float = 0.75) -> DataFrame:
+    """The first hour at which the classes lie apart by the margin, and which side is the feasible one. hours: keys, h, and f and i, the classes' offsets in order."""
 
     def at(p: int, kind: str):
-        return F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY CASE WHEN kind = '{kind}' THEN off END)")
+        return E.nearest_rank(c(kind), p)
 
-    found = rows.where("kind IN ('feasible', 'infeasible')").groupBy(*keys, "h").agg(
-        at(50, "feasible").alias("f50"), at(50, "infeasible").alias("i50"), at(25, "feasible").alias("f25"), at(75, "feasible").alias("f75"), at(25, "infeasible").alias("i25"), at(75, "infeasible").alias("i75"),
-        F.collect_list(F.when(c("kind") == "feasible", c("off"))).alias("f"), F.collect_list(F.when(c("kind") == "infeasible", c("off"))).alias("i"),
-    )
+    found = hours.withColumns({"f50": at(50, "f"), "i50": at(50, "i"), "f25": at(25, "f"), "f75": at(75, "f"), "i25": at(25, "i"), "i75": at(75, "i")})
     high = c("f50") > c("i50")
-    found = found.where("f50 <> i50").withColumns({"high_is_feasible": high, "high": F.when(high, c("f25")).otherwise(c("i25")), "low": F.when(high, c("i75")).otherwise(c("f75")), "top": F.when(high, c("f")).otherwise(c("i")), "bottom": F.when(high, c("i")).otherwise(c("f"))})
+    found = found.where("f50 <> i50").withColumns({"high_is_feasible": high, "high": F.when(high, c("f25")).otherwise(c("i25")), "low": F.when(high, c("i75")).otherwise(c("f75"))}).where(c("high") - c("low") >= margin)
+    found = found.withColumns({"top": F.when(high, c("f")).otherwise(c("i")), "bottom": F.when(high, c("i")).otherwise(c("f"))})
     agree = (F.size(F.filter("top", lambda x: x >= c("high"))) >= concordance * F.size("top")) & (F.size(F.filter("bottom", lambda x: x <= c("low"))) >= concordance * F.size("bottom"))
-    apart = found.where((c("high") - c("low") >= margin) & agree)
     middle = (c("high") + c("low")) / 2
-    apart = apart.withColumn("hits", F.size(F.filter("top", lambda x: x >= middle)) + F.size(F.filter("bottom", lambda x: x <= middle))).withColumn("of", F.size("top") + F.size("bottom"))
+    apart = found.where(agree).withColumn("hits", F.size(F.filter("top", lambda x: x >= middle)) + F.size(F.filter("bottom", lambda x: x <= middle))).withColumn("of", F.size("top") + F.size("bottom"))
     return apart.groupBy(*keys).agg(F.min_by(F.struct("h", "high_is_feasible", "hits", "of"), "h").alias("s")).select(*keys, "s.*")
 
 
 def decision_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hour that tells the outcomes apart, if it stays when any one member is left out."""
+    """The hour that tells the outcomes apart, if it stays when any one member is left out: from each hour's ordered offsets, without another shuffle of the members."""
     ready = summaries(spark, sf_dir).where("complete AND n_f >= 12 AND n_inf >= 3").select("departure")
-    rows = offsets(hourly(spark, sf_dir)).join(ready, "departure").select("departure", "member", "kind", "h", "off")
-    first = splits(rows, ["departure"])
+    rows = offsets(hourly(spark, sf_dir)).join(ready, "departure").where("kind IN ('feasible', 'infeasible')").select("departure", "member", "kind", "h", "off")
+    one = F.struct("off", "member")
+    checkpoint_folder(spark)
+    hours = rows.repartition("departure").groupBy("departure", "h").agg(*[E.ascending(F.when(c("kind") == kind, one)).alias(name) for kind, name in (("feasible", "f"), ("infeasible", "i"))]).checkpoint()  # read four times below
+
+    def left(name: str, keep=None):
+        return F.transform(F.filter(name, keep) if keep else c(name), lambda x: x["off"])
+
+    first = first_split(hours.select("departure", "h", left("f").alias("f"), left("i").alias("i")), ["departure"]).checkpoint()
     # only where there is an hour at all, each of at most thirty members is left out in turn
-    rows = rows.join(first.select("departure"), "departure", "left_semi")
-    out = rows.where("kind IN ('feasible', 'infeasible')").select("departure", c("member").alias("without")).distinct()
-    others = out.join(rows, "departure").where("member <> without")
-    again = splits(others, ["departure", "without"]).select("departure", "without", c("h").alias("h_"), c("high_is_feasible").alias("side_"))
+    hours = hours.join(first.select("departure"), "departure", "left_semi")
+    members = F.flatten(F.array(F.transform("f", lambda x: x["member"]), F.transform("i", lambda x: x["member"])))
+    out = hours.select("departure", F.explode(members).alias("without")).distinct()
+    others = hours.join(out, "departure").select("departure", "without", "h", *[left(x, lambda m: m["member"] != c("without")).alias(x) for x in ("f", "i")])
+    again = first_split(others, ["departure", "without"]).select("departure", "without", c("h").alias("h_"), c("high_is_feasible").alias("side_"))
     held = out.join(first, "departure").join(again, ["departure", "without"], "left")
     steady = F.coalesce((F.abs(c("h_") - c("h")) <= 1) & (c("side_") == c("high_is_feasible")), F.lit(False))
     stable = held.groupBy("departure").agg(F.min(steady).alias("stable")).where("stable")

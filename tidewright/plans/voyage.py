@@ -131,8 +131,8 @@ def rank_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isochrone_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of every sixth hour in order of their course from a point."""
     course = F.round(A.bearing(F.lit(57.0), F.lit(9.5), c("lat"), c("lon")), 9)
-    order = Window.partitionBy("t_s").orderBy(course, "lat", "lon", "route", "seq")
-    return steps(spark, sf_dir).where("t_s % 21600 = 0").select("t_s", "route", F.row_number().over(order).alias("place"))
+    rows = steps(spark, sf_dir).where("t_s % 21600 = 0").withColumn("course", course)
+    return R.placed(rows, ["t_s"], F.floor(c("course") * 10), ["course", "lat", "lon", "route", "seq"]).select("t_s", "route", "place")
 
 
 def label_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,9 +184,13 @@ def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest, upper median, and how many lie beyond a limit, by type."""
     nm = F.round(A.distance_nm(c("lat"), c("lon"), c("lat2"), c("lon2")), 6)
     rows = positions(spark, sf_dir).select("event_type", nm.alias("nm"))
-    place = Window.partitionBy("event_type").orderBy("nm")
-    rows = rows.withColumns({"r": F.row_number().over(place) - 1, "n": F.count("*").over(Window.partitionBy("event_type"))})
-    return rows.groupBy("event_type").agg(F.max("nm").alias("most"), F.max(F.when(c("r") == F.floor(c("n") / 2), c("nm"))).alias("median"), F.count_if(c("nm") > 60).alias("beyond"))
+    # the hundredth of a mile in which the median lies, by counts; only its rows are put in order
+    rows, by_type = rows.withColumn("part", F.floor(c("nm") * 100)), Window.partitionBy("event_type")
+    counts = rows.groupBy("event_type", "part").agg(F.count("*").alias("n"), F.max("nm").alias("most"), F.count_if(c("nm") > 60).alias("beyond"))
+    counts = counts.withColumns({"upto": F.sum("n").over(by_type.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "middle": F.floor(F.sum("n").over(by_type) / 2)})
+    middle = counts.where("upto > middle and upto - n <= middle").select("event_type", "part", (c("middle") - c("upto") + c("n") + 1).alias("at"))
+    inside = rows.join(F.broadcast(middle), ["event_type", "part"]).withColumn("r", F.row_number().over(by_type.orderBy("nm"))).where(c("r") == c("at"))  # one row a type is broadcast
+    return counts.groupBy("event_type").agg(F.max("most").alias("most"), F.sum("beyond").alias("beyond")).join(inside.select("event_type", c("nm").alias("median")), "event_type").select("event_type", "most", "median", "beyond")
 
 
 def nearest_by_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
