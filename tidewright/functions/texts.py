@@ -79,16 +79,15 @@ def fnv1a64(text: Column) -> Column:
     """The 64-bit FNV-1a hash in hex: exclusive-or with each byte, times the prime modulo 2 to the 64th.
 
     The prime is 2^40 + 435; products are taken in 20-digit decimals, so nothing overflows."""
-    byte = F.sequence(F.lit(0), F.octet_length(text) - 1)
-    hexes = F.hex(F.encode(text, "UTF-8"))
+    pairs = F.filter(F.split(F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "$1,"), ","), lambda x: x != "")
 
-    def mix(acc: Column, i: Column) -> Column:
-        low = (acc["lo"].bitwiseXOR(F.conv(F.substr(hexes, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long")))
+    def mix(acc: Column, byte: Column) -> Column:
+        low = acc["lo"].bitwiseXOR(F.conv(byte, 16, 10).cast("long"))
         # hi and lo are 32-bit halves: (hi * 2^32 + lo) * (2^40 + 435)
         lo = low * 435
         hi = acc["hi"] * 435 + F.shiftright(lo, 32) + F.shiftleft(low, 8)
         return F.struct(hi.bitwiseAND(0xFFFFFFFF).alias("hi"), lo.bitwiseAND(0xFFFFFFFF).alias("lo"))
 
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
-    done = F.when(F.octet_length(text) > 0, F.aggregate(byte, start, mix)).otherwise(start)
+    done = F.aggregate(pairs, start, mix)
     return F.lower(F.concat(F.lpad(F.hex(done["hi"]), 8, "0"), F.lpad(F.hex(done["lo"]), 8, "0")))
