@@ -25,7 +25,7 @@ GROUP_ROWS = 8192
 SCHEMA = "query_id long, vec_id long, score double"
 GRAPHS = "shard_ int, length int, ids binary, exact binary, which binary, nodes binary, size double, entry int, links array<binary>"
 LINKS = 16
-BUILD_WIDTH = 48
+BUILD_WIDTH = 32
 SEARCH_WIDTH = 128
 STEP = 256
 #: Components that are compared exactly at once.
