@@ -216,4 +216,10 @@ ORACLE_SQL = {name: _numbers_sql(name) for name in NUMBERS} | {
     "sha256_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "package_fingerprint": "SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source",
     "canonical_json": "SELECT n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS json FROM nation",
+    "local_time_format": f"SELECT event_id, strftime(to_timestamp(t) AT TIME ZONE 'Europe/Oslo', '%H:%M') AS clock FROM ({POSITIONS})",
+    "fnv1a64": """
+        SELECT n_nationkey, printf('%08x', CAST(h // 4294967296 AS BIGINT)) || printf('%08x', CAST(h % 4294967296 AS BIGINT)) AS hash FROM (
+            SELECT n_nationkey, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(n_name) + 1), lambda i: ascii(n_name[i])::HUGEINT)),
+                                            lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h
+            FROM nation)""",
 }
