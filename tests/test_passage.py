@@ -111,3 +111,17 @@ def test_running_summaries(spark, tmp_path):
     assert len(list((tmp_path / "out" / "batches").iterdir())) > 2
     warned = [r.certificate for r in spark.read.parquet(f"{tmp_path}/out/batches/*").where("departure = 1").orderBy("batch").collect()]
     assert warned == sorted(warned, key=lambda x: x is not None)  # once given, never taken back
+
+
+def test_front_of_hot_keys(spark):
+    """Dealt into parts, a key has the same front."""
+    import random
+
+    from tidewright.operators.routes import front
+
+    rng = random.Random(2)
+    rows = [(i % 3, rng.randrange(30), rng.randrange(30), rng.randrange(30)) for i in range(240)] + [(9, 1, 1, 1), (9, 1, 1, 1)]
+    frame = spark.createDataFrame(rows, "k long, a long, b long, c long")
+    expect = sorted(r for r in rows if not any(o[0] == r[0] and o != r and all(x <= y for x, y in zip(o[1:], r[1:], strict=True)) for o in rows))
+    for most in (10_000, 7):
+        assert sorted(tuple(r) for r in front(frame, "k", ["a", "b", "c"], most).collect()) == expect

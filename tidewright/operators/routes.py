@@ -56,20 +56,27 @@ def dominates(a: str, b: str, costs: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [c(f"{a}.{x}") <= c(f"{b}.{x}") for x in costs]) & reduce(lambda x, y: x | y, [c(f"{a}.{x}") < c(f"{b}.{x}") for x in costs])
 
 
-def front(rows: DataFrame, key: str, costs: list[str]) -> DataFrame:
+def front(rows: DataFrame, key: str, costs: list[str], most: int = 10_000) -> DataFrame:
     """The rows that no other row of their key dominates.
 
     Rows are sorted by their costs within a key, and each is compared with those that came before and stayed: what dominates a row
-    sorts before it, and by transitivity something that stays dominates it too. Keys are groups of bounded size (the labels of a state)."""
-    cost = F.struct(*costs)
-    some = F.array_sort(F.collect_set(cost))
+    sorts before it, and by transitivity something that stays dominates it too. A key of more than `most` rows is first dealt into
+    parts of about that many, whose own fronts hold the key's front, so that no task gathers a hot key."""
 
     def step(kept: Column, row: Column) -> Column:
         beaten = F.exists(kept, lambda k: reduce(lambda x, y: x & y, [k[x] <= row[x] for x in costs]))
         return F.when(beaten, kept).otherwise(F.concat(kept, F.array(row)))
 
-    fronts = rows.groupBy(key).agg(some.alias("all")).select(key, F.explode(F.aggregate(F.slice("all", 2, 1 << 30), F.slice("all", 1, 1), step)).alias("f")).select(key, "f.*")
-    return rows.join(fronts, [key, *costs], "left_semi")
+    def fronts(of: DataFrame, *keys: str) -> DataFrame:
+        kept = F.aggregate(F.slice("all_", 2, 1 << 30), F.slice("all_", 1, 1), step)
+        return of.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*costs))).alias("all_")).select(*keys, F.explode(kept).alias("f_")).select(*keys, "f_.*")
+
+    points = rows.select(key, *costs)
+    hot = points.groupBy(key).agg(F.ceil(F.count("*") / most).alias("parts_")).where("parts_ > 1")
+    if not hot.isEmpty():
+        dealt = points.join(hot, key).withColumn("part_", F.pmod(F.xxhash64(*costs), F.col("parts_")))
+        points = points.join(hot, key, "left_anti").unionByName(fronts(dealt, key, "part_").select(key, *costs))
+    return rows.join(fronts(points, key), [key, *costs], "left_semi")
 
 
 def chains(labels: DataFrame, rounds: int = 32) -> DataFrame:
