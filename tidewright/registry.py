@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import ensemble, grid, packages, passage, scalars, voyage
+from tidewright.plans import ensemble, grid, packages, passage, planning, scalars, voyage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [ensemble, scalars, grid, voyage, passage, packages]
+MODULES: list = [ensemble, scalars, grid, voyage, passage, packages, planning]
 
 
 def queries() -> dict[str, Query]:
