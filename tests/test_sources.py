@@ -27,3 +27,26 @@ def test_features(spark, tmp_path):
 def test_odd_positions(spark):
     rows = spark.createDataFrame([("",), (None,), ("1",), (" 1  2\t3 ",), ("a b 1 2",)], "t string")
     assert [[tuple(p) for p in r.p] for r in rows.select(F.coalesce(gml.positions(F.col("t")), F.array().cast("array<struct<x:double,y:double>>")).alias("p")).collect()] == [[], [], [], [(2.0, 1.0)], [(2.0, 1.0)]]
+
+
+def test_forecasts(spark):
+    import json
+
+    from tidewright.sources.forecast import forecasts
+
+    def body(entries, place=(10.5, 58.25), **meta):
+        rows = [{"time": t, "data": {"instant": {"details": {"sea_surface_wave_height": h, "sea_surface_wave_from_direction": 90}}}} for t, h in entries]
+        return json.dumps({"geometry": {"coordinates": list(place)}, "properties": {"meta": meta, "timeseries": rows}})
+
+    rising = body([("2026-01-01T00:00:00Z", 1.5), ("2026-01-01T02:00:00Z", None), ("2026-01-01T01:00:00Z", 9.0), ("2026-01-01T02:00:00Z", 9.0), ("2026-01-01T03:00:00Z", 2)])
+    cases = [
+        ("rising", rising), ("bare", '{"properties":{"timeseries":[{"time":"2026-01-01T00:00:00Z"}]}}'), ("none", body([])), ("land", body([("2026-01-01T00:00:00Z", 1.0)], error="no data at the given location")),
+        ("moment", body([("noon", 1.0)])), ("series", '{"properties":{}}'), ("text", "not a document"), ("null", None), ("empty", ""),
+    ]
+    found = {r.key: r for r in forecasts(spark.createDataFrame(cases, "key string, body string"), "key").collect()}
+    assert {k: r.status for k, r in found.items()} == {"rising": "ok", "bare": "ok", "none": "no-data", "land": "no-data", "moment": "failed", "series": "failed", "text": "failed", "null": "failed", "empty": "failed"}
+    start = 1767225600
+    assert [(t.epoch_s - start, t.hs) for t in found["rising"].times] == [(0, 1.5), (7200, None), (10800, 2.0)] and (found["rising"].source_lat, found["rising"].source_lon) == (58.25, 10.5)
+    assert [(t.hs, t.from_deg) for t in found["bare"].times] == [(None, None)] and found["bare"].source_lat is None
+    assert all(found[k].times == [] for k in ("none", "land", "moment", "null"))
+    assert forecasts(spark.createDataFrame([], "key string, body string"), "key").count() == 0

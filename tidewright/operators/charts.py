@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.spatial import contained, crosses, overlapping, segments_meet
+from tidewright.operators.spatial import clipped, contained, crosses, overlapping, segments_meet
 
 c = F.col
 #: Data quality classes from best to worst, and how many of the best are good.
@@ -71,24 +71,45 @@ def point_verdicts(points: DataFrame, areas: DataFrame, key: str, need: Mapping[
 
     The rules in their order: drying ground; rocks, and shoals whose depth is unknown or less than needed; the depth band against the safety
     contour, the least band depth that suffices; beyond that, fairways and good data lift the trust unless a sounding guards the area; air draught; protected zones."""
-    contour = areas.where(c("kind") == "band").where(c("depth") >= need["depth"]).agg(F.min("depth").alias("contour"))
-    met = contained(points, areas, step)
-
-    def any_of(condition: Column) -> Column:
-        return F.bool_or(condition)
-
-    kind = c("kind")
+    contour, met, kind = safety_contour(areas, need), contained(points, areas, step), c("kind")
     facts = met.groupBy(key).agg(
-        any_of(kind == "dry").alias("dry"), any_of(kind == "rock").alias("rock"), any_of((kind == "shoal") & (c("depth").isNull() | (c("depth") < need["depth"]))).alias("shoal"),
-        F.min_by(F.when(kind == "band", c("depth")), F.when(kind == "band", c("box"))).alias("band"), any_of(kind == "fairway").alias("fairway"), any_of(kind == "quality").alias("rated"),
-        any_of((kind == "quality") & (quality_rank(c("quality")) < GOOD)).alias("good"), any_of(kind == "guard").alias("guarded"), any_of((kind == "air") & (c("depth") < need["air"])).alias("low"),
-        any_of(kind == "season").alias("season"),
+        *_facts(kind, c("depth"), c("quality"), need), F.min_by(F.when(kind == "band", c("depth")), F.when(kind == "band", c("box"))).alias("band"),
+        F.bool_or((kind == "fairway") | ((kind == "quality") & (quality_rank(c("quality")) < GOOD))).alias("trusted"),
     )
-    names = ["dry", "rock", "shoal", "fairway", "rated", "good", "guarded", "low", "season"]
-    rows = points.select(key).join(facts, key, "left").fillna(False, names).join(F.broadcast(contour))  # the contour is one row
-    blocked = c("dry") | c("rock") | c("shoal")
-    shallow = F.coalesce(c("band") <= c("contour"), F.lit(False))
-    trusted, open_ = c("fairway") | c("good"), ~shallow & ~blocked
+    rows = points.select(key).join(facts, key, "left").join(F.broadcast(contour))  # the contour is one row
+    return _verdicts(rows.withColumn("shallow", c("band") <= c("contour")), key)
+
+
+def segment_verdicts(segments: DataFrame, areas: DataFrame, key: str, need: Mapping[str, float], step: float) -> DataFrame:
+    """The same of every chord (lat, lon, lat2, lon2): what it crosses counts as what holds a point, any band it crosses may be too shallow, and
+    only an area that holds the whole chord lifts the trust."""
+
+    def holds(lat: str, lon: str) -> Column:
+        return c(lat).between(c("south2"), c("north2")) & c(lon).between(c("west2"), c("east2"))
+
+    met, kind = clipped(segments, areas, key, step).join(F.broadcast(safety_contour(areas, need))), c("kind2")
+    lifts = (kind == "fairway") | ((kind == "quality") & (quality_rank(c("quality2")) < GOOD))
+    facts = met.groupBy(key).agg(*_facts(kind, c("depth2"), c("quality2"), need), F.bool_or((kind == "band") & (c("depth2") <= c("contour"))).alias("shallow"), F.bool_or(lifts & holds("lat", "lon") & holds("lat2", "lon2")).alias("trusted"))
+    return _verdicts(segments.select(key).join(facts, key, "left"), key)
+
+
+def safety_contour(areas: DataFrame, need: Mapping[str, float]) -> DataFrame:
+    """One row: the least depth of a band that suffices, NULL where none does."""
+    return areas.where(c("kind") == "band").where(c("depth") >= need["depth"]).agg(F.min("depth").alias("contour"))
+
+
+def _facts(kind: Column, depth: Column, quality: Column, need: Mapping[str, float]) -> list[Column]:
+    facts = {
+        "dry": kind == "dry", "rock": kind == "rock", "shoal": (kind == "shoal") & (depth.isNull() | (depth < need["depth"])), "rated": kind == "quality", "guarded": kind == "guard",
+        "low": (kind == "air") & (depth < need["air"]), "season": kind == "season",
+    }
+    return [F.bool_or(x).alias(name) for name, x in facts.items()]
+
+
+def _verdicts(rows: DataFrame, key: str) -> DataFrame:
+    rows = rows.withColumns({x: F.coalesce(x, F.lit(False)) for x in ("dry", "rock", "shoal", "rated", "guarded", "low", "season", "shallow", "trusted")})
+    blocked, shallow, trusted = c("dry") | c("rock") | c("shoal"), c("shallow"), c("trusted")
+    open_ = ~shallow & ~blocked
     reasons = [
         (c("dry"), "torrfall"), (c("rock") | c("shoal"), "skjaer-buffer"), (shallow, "grunnere-enn-sikkerhetskontur"), (open_ & trusted & c("guarded"), "usikker-sondering-i-baand"),
         (open_ & ~trusted & c("rated"), "lav-datakvalitet"), (open_ & ~trusted & ~c("rated"), "utenfor-farled-lav-tetthet"), (c("low"), "for-lav-luftspenn"), (c("season"), "vernesone-aktiv"),

@@ -15,10 +15,11 @@ from tidewright.operators import grid as G
 from tidewright.operators import spatial as P
 from tidewright.operators.ensemble import after_rerun, kendall
 from tidewright.plans.grid import AXES, CODED, MET, _blocks, _code, places
-from tidewright.plans.passage import _CHORDS, _SIDES, _RINGS, _flags, chords, near_legs, sailed_legs, six, unless
+from tidewright.plans.passage import _AREAS, _CHORDS, _RINGS, _SIDES, NEED, _flags, areas, chords, near_legs, sailed_legs, six, unless
 from tidewright.plans.proxies import BOXES, MEMBERS, NODES, POSITIONS, STEPS, boxes, members, nodes, positions, steps, table
 from tidewright.plans.scalars import _MOMENTS, ALTITUDE, BRG, HAV, between
 from tidewright.plans.voyage import rings
+from tidewright.sources.forecast import forecasts
 
 c = F.col
 #: A flip counts beyond this many per cent, and two rankings agree from this tau on.
@@ -27,6 +28,8 @@ BAND_PCT, LEAST_TAU = 2.0, 0.8
 HEADER_BYTES, INDEX_BYTES, PER_LAT, PER_LON = 72, 16, 139, 70
 #: The most labels, a bail-out's limit in seconds, the longest missing last leg, and padding of fallback and of currents (lat, lon) in degrees.
 MOST_LABELS, LIMIT_S, SHORTFALL_NM, PAD_DEG, PAD_LAT, PAD_LON = 400_000, 6 * 3600, 0.3, 0.5, 0.05, 0.1
+#: The metres that each class of data quality adds to the depth needed, and the most wave points of one request.
+SURCHARGE_M, MOST_POINTS = dict.fromkeys(C.QUALITY, 0.0), 48
 HAZARDS = [(57.9, 10.4), (58.4, 11.2), (59.1, 10.9), (58.8, 11.7)]
 HARBOURS = [(58.3, 11.0), (59.0, 11.5)]
 
@@ -382,11 +385,95 @@ def parse_catalog_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.select("o_custkey", F.array_join(F.sort_array(runs, asc=False), ",").alias("runs"))
 
 
+# -- charts -----------------------------------------------------------------------------------------------------------------------
+
+
+def chart_segment_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = C.segment_verdicts(chords(spark, sf_dir), areas(spark, sf_dir), "event_id", NEED, 0.1)
+    return found.select("event_id", "trust", F.array_join("reasons", ",").alias("reasons"))
+
+
+def depth_surcharge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth needed in each quality class."""
+    surcharge = F.element_at(F.create_map(*[F.lit(x) for pair in SURCHARGE_M.items() for x in pair]), c("quality"))
+    return areas(spark, sf_dir).select("box", F.round(2.6 + c("box") % 7 / 10 + surcharge, 6).alias("metres"))
+
+
+def find_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first band that holds a point, whether its data are good and whether a sounding guards it."""
+    kind = c("kind")
+    found = P.contained(positions(spark, sf_dir).select("event_id", "lat", "lon"), areas(spark, sf_dir), 0.1)
+    return found.groupBy("event_id").agg(F.min(F.when(kind == "band", c("box"))).alias("band"), F.bool_or((kind == "quality") & (C.quality_rank(c("quality")) < C.GOOD)).alias("good"), F.bool_or(kind == "guard").alias("guarded"))
+
+
+def tile_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each tile holds of the areas, cut to the tile; tiles that would be empty have no row."""
+    size = 0.1
+    cut = {"west": F.greatest(c("west"), c("x") * size), "east": F.least(c("east"), (c("x") + 1) * size), "south": F.greatest(c("south"), c("y") * size), "north": F.least(c("north"), (c("y") + 1) * size)}
+    rows = P.tiles(areas(spark, sf_dir), size, size).withColumns(cut).where((c("east") - c("west") > 1e-9) & (c("north") - c("south") > 1e-9))
+    return rows.groupBy("x", "y").agg(F.count("*").alias("areas"), F.count_if(c("kind") == "dry").alias("dry"), F.round(F.sum((c("east") - c("west")) * (c("north") - c("south"))), 9).alias("extent"))
+
+
+def depth_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart's closed, simple rings by depth, each band from the depth before it; and the rings left out. The bands' rings are listed, not united."""
+    closed, simple = c("box") % 8 != 0, c("box") % 9 != 4
+    rows = boxes(spark, sf_dir).withColumns({"chart": c("box") % 11, "depth": c("box") % 6 * 5 + 2})
+    found = rows.groupBy("chart", "depth").agg(F.count_if(closed & simple).alias("rings"), F.count_if(~closed).alias("open"), F.count_if(closed & ~simple).alias("crossing"))
+    lost = Window.partitionBy("chart")
+    found = found.withColumns({"skipped_open": F.sum("open").over(lost), "skipped_invalid": F.sum("crossing").over(lost)}).where("rings > 0")
+    return found.select("chart", F.coalesce(F.lag("depth").over(lost.orderBy("depth")), F.lit(0)).alias("lower"), c("depth").alias("upper"), "rings", "skipped_open", "skipped_invalid")
+
+
+def wave_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lattice of ten miles over each box, its points in known cells, and whether they are too many to ask for."""
+    pad = boxes(spark, sf_dir).select("box", *[(c(x) + (PAD_DEG if x in ("north", "east") else -PAD_DEG)).alias(x) for x in ("south", "north", "west", "east")])
+    high, wide = F.lit(10 / 60), 10 / (60 * F.cos(F.radians((c("south") + c("north")) / 2)))
+    rows = pad.withColumns({"wide": wide, "r": F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor((c("north") - c("south")) / high)) - 1))})
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor((c("east") - c("west")) / c("wide"))) - 1)))
+    rows = rows.select("box", (c("south") + (c("r") + 0.5) * high).alias("lat"), (c("west") + (c("q") + 0.5) * c("wide")).alias("lon"))
+    known = nodes(spark, sf_dir).where("k = 0 and v is not null").select("i", "j")
+    kept = rows.withColumns({"i": F.floor((c("lat") - 57.5) / 0.1), "j": F.floor((c("lon") - 10) / 0.04)}).join(known, ["i", "j"], "left_semi")
+    return kept.groupBy("box").agg(F.count("*").alias("points"), (F.count("*") > MOST_POINTS).alias("exceeds"), F.round(F.min("lat"), 4).alias("south"), F.round(F.max("lon"), 4).alias("east"))
+
+
+def locate_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node of a coarse grid nearest to a tile's middle, the block of nodes about it, the tile's window in that block, and whether the block cuts the window off."""
+    half = 4
+    grid = nodes(spark, sf_dir).where("k = 0").select("i", "j", (57.5 + c("i") / 10).alias("lat"), (10 + c("j") / 25).alias("lon"))
+    coarse = grid.where("i % 3 = 0 and j % 3 = 0").select((c("i") * 50 + c("j")).alias("node"), c("lat").alias("lat2"), c("lon").alias("lon2"))
+    tiles = boxes(spark, sf_dir).select("box", *[(c(x) + sign * pad).alias(x) for x, sign, pad in (("south", -1, PAD_LAT), ("north", 1, PAD_LAT), ("west", -1, PAD_LON), ("east", 1, PAD_LON))])
+    middles = boxes(spark, sf_dir).select("box", ((c("south") + c("north")) / 2).alias("lat"), ((c("west") + c("east")) / 2).alias("lon"))
+    last = grid.agg(F.max("i").alias("last"))
+    at = P.nearest(middles, coarse, "box", "node", 20.0).withColumns({"y": F.floor(c("node") / 50), "x": c("node") % 50}).join(F.broadcast(last))
+    block = at.select("box", "last", F.greatest(F.lit(0), c("y") - half).alias("y0"), F.least(c("last"), c("y") + half).alias("y1"), F.greatest(F.lit(0), c("x") - half).alias("x0"), F.least(F.lit(49), c("x") + half).alias("x1"))
+    met = P.contained(grid, tiles, 0.4).join(block, "box").where("i between y0 and y1 and j between x0 and x1")
+    found = met.groupBy("box", "last", "y0", "y1", "x0", "x1").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
+    edge = ((c("i0") == c("y0")) & (c("y0") > 0)) | ((c("i1") == c("y1")) & (c("y1") < c("last"))) | ((c("j0") == c("x0")) & (c("x0") > 0)) | ((c("j1") == c("x1")) & (c("x1") < 49))
+    return found.select("box", "y0", "y1", "x0", "x1", "i0", "i1", "j0", "j1", edge.alias("cut_off"))
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as forecasts of eight moments each, some of them with an error or without a series."""
+    e = c("event_id")
+    time = F.concat(F.replace(c("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    details = F.struct(unless(e % 6 == 0, c("user_id") % 50 / 10).alias("sea_surface_wave_height"), (e % 360).cast("double").alias("sea_surface_wave_from_direction"))
+    moment = F.struct(e.alias("at"), time.alias("time"), F.struct(F.struct(details.alias("details")).alias("instant")).alias("data"))
+    rows = table(spark, sf_dir, "events").groupBy(F.floor(e / 8).alias("point")).agg(F.array_sort(F.collect_list(moment)).alias("timeseries"))
+    meta = F.struct(F.when(c("point") % 7 == 0, "no data at the given location").alias("error"))
+    place = F.struct(F.array(c("point") % 100 / 50 + 10, c("point") % 70 / 50 + 57).alias("coordinates"))
+    return rows.select("point", F.when(c("point") % 13 != 0, F.to_json(F.struct(place.alias("geometry"), F.struct(meta.alias("meta"), "timeseries").alias("properties")))).alias("body"))
+
+
+def scan_forecast_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forecasts(bodies(spark, sf_dir), "point")
+    return rows.select("point", *six("source_lat", "source_lon"), "status", F.size("times").cast("long").alias("moments"), F.get("times", F.size("times") - 1)["epoch_s"].alias("last_s"), F.array_max("times.hs").alias("most"))
+
+
 QUERIES = {f.__name__: f for f in (
     geo_polyline_distance, geo_corridor_deviation, corridor_mask, clearance_chord, consolidate, alert_filter, nearest_polygon_point, sounding_qa, sounding_guardrail, pad_bounds, recheck, final_leg, result_verdicts,
     trap_verdict, rerun_cap, outcome_adapt, combine_max_hs, coverage_flags, ranking_verdict, lex_compare, pareto_dominates, termination, options_merge, sun_is_night, cell_center, env_lookup, with_wave_points,
     raw_field_distance, node_decode, hs_params, layer_bytes, field_direction_budget, nearest_native_sea, regular_grid_spec, roundtrip_verify, residual_control, probe_two_stage, serialise_points,
-    parse_catalog_runs)}
+    parse_catalog_runs, chart_segment_verdict, depth_surcharge, find_band, tile_payloads, depth_bands, wave_grid, locate_tile, scan_forecast_json)}
 
 
 def _hav(*x: object) -> str:
@@ -592,4 +679,54 @@ ORACLE_SQL = {
     "parse_catalog_runs": """
         SELECT o_custkey, coalesce(string_agg(DISTINCT run, ',' ORDER BY run DESC), '') AS runs FROM (
             SELECT o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN '20' || lpad(CAST(o_orderkey % 90 + 10 AS VARCHAR), 6, '0') || 'T' || lpad(CAST(o_orderkey % 4 * 6 AS VARCHAR), 2, '0') END AS run FROM orders) GROUP BY o_custkey""",
+    "chart_segment_verdict": f"""
+        WITH s AS ({_CHORDS}), a AS ({_AREAS}), contour AS (SELECT min(depth) AS contour FROM a WHERE kind = 'band' AND depth >= 4),
+        w AS (SELECT *, lon2 - lon AS dx, lat2 - lat AS dy FROM s JOIN a ON least(lon, lon2) <= east AND greatest(lon, lon2) >= west AND least(lat, lat2) <= north AND greatest(lat, lat2) >= south),
+        x AS (SELECT *, CASE WHEN dx = 0 THEN 0 ELSE least((west - lon) / dx, (east - lon) / dx) END AS x0, CASE WHEN dx = 0 THEN 1 ELSE greatest((west - lon) / dx, (east - lon) / dx) END AS x1,
+                     CASE WHEN dy = 0 THEN 0 ELSE least((south - lat) / dy, (north - lat) / dy) END AS y0, CASE WHEN dy = 0 THEN 1 ELSE greatest((south - lat) / dy, (north - lat) / dy) END AS y1 FROM w),
+        f AS (
+            SELECT event_id, bool_or(kind = 'dry') AS dry, bool_or(kind = 'rock' OR kind = 'shoal' AND (depth IS NULL OR depth < 4)) AS rock, bool_or(kind = 'band' AND depth <= contour) AS shallow,
+                   bool_or((kind = 'fairway' OR kind = 'quality' AND quality < 3) AND lat BETWEEN south AND north AND lon BETWEEN west AND east AND lat2 BETWEEN south AND north AND lon2 BETWEEN west AND east) AS trusted,
+                   bool_or(kind = 'quality') AS rated, bool_or(kind = 'guard') AS guarded, bool_or(kind = 'air' AND depth < 6) AS low, bool_or(kind = 'season') AS season
+            FROM x, contour WHERE greatest(x0, y0, 0) <= least(x1, y1, 1) GROUP BY event_id),
+        g AS (
+            SELECT s.event_id, coalesce(dry, false) AS dry, coalesce(rock, false) AS rock, coalesce(shallow, false) AS shallow, coalesce(trusted, false) AS trusted, coalesce(rated, false) AS rated, coalesce(guarded, false) AS guarded,
+                   coalesce(low, false) AS low, coalesce(season, false) AS season FROM s LEFT JOIN f USING (event_id)),
+        h AS (SELECT *, NOT (dry OR rock OR shallow) AS open FROM g)
+        SELECT event_id, CASE WHEN NOT open THEN 'no-go' WHEN low OR season OR NOT trusted OR guarded THEN 'usikkert' ELSE 'trygt' END AS trust,
+               array_to_string(list_filter([CASE WHEN dry THEN 'torrfall' END, CASE WHEN rock THEN 'skjaer-buffer' END, CASE WHEN shallow THEN 'grunnere-enn-sikkerhetskontur' END, CASE WHEN open AND trusted AND guarded THEN 'usikker-sondering-i-baand' END,
+                   CASE WHEN open AND NOT trusted AND rated THEN 'lav-datakvalitet' END, CASE WHEN open AND NOT trusted AND NOT rated THEN 'utenfor-farled-lav-tetthet' END, CASE WHEN low THEN 'for-lav-luftspenn' END,
+                   CASE WHEN season THEN 'vernesone-aktiv' END], lambda x: x IS NOT NULL), ',') AS reasons
+        FROM h""",
+    "depth_surcharge": f"SELECT box, round(2.6::DOUBLE + (box % 7)::DOUBLE / 10, 6) AS metres FROM ({BOXES})",
+    "find_band": f"""
+        SELECT event_id, min(box) FILTER (kind = 'band') AS band, bool_or(kind = 'quality' AND quality < 3) AS good, bool_or(kind = 'guard') AS guarded
+        FROM ({POSITIONS}) JOIN ({_AREAS}) ON lat BETWEEN south AND north AND lon BETWEEN west AND east GROUP BY event_id""",
+    "tile_payloads": f"""
+        WITH a AS (SELECT *, unnest(range(CAST(floor(west / 0.1::DOUBLE) AS BIGINT), CAST(floor(east / 0.1::DOUBLE) AS BIGINT) + 1)) AS x FROM ({_AREAS})), b AS (SELECT *, unnest(range(CAST(floor(south / 0.1::DOUBLE) AS BIGINT), CAST(floor(north / 0.1::DOUBLE) AS BIGINT) + 1)) AS y FROM a),
+        t AS (SELECT x, y, kind, least(east, (x + 1) * 0.1::DOUBLE) - greatest(west, x * 0.1::DOUBLE) AS wide, least(north, (y + 1) * 0.1::DOUBLE) - greatest(south, y * 0.1::DOUBLE) AS high FROM b)
+        SELECT x, y, count(*) AS areas, count(*) FILTER (kind = 'dry') AS dry, round(sum(wide * high), 9) AS extent FROM t WHERE wide > 1e-9 AND high > 1e-9 GROUP BY x, y""",
+    "depth_bands": """
+        WITH r AS (SELECT s_suppkey % 11 AS chart, s_suppkey % 6 * 5 + 2 AS depth, s_suppkey % 8 <> 0 AS closed, s_suppkey % 9 <> 4 AS simple FROM supplier),
+        l AS (SELECT chart, count(*) FILTER (NOT closed) AS skipped_open, count(*) FILTER (closed AND NOT simple) AS skipped_invalid FROM r GROUP BY chart),
+        d AS (SELECT chart, depth, count(*) AS rings FROM r WHERE closed AND simple GROUP BY chart, depth)
+        SELECT chart, coalesce(lag(depth) OVER (PARTITION BY chart ORDER BY depth), 0) AS lower, depth AS upper, rings, skipped_open, skipped_invalid FROM d JOIN l USING (chart)""",
+    "wave_grid": f"""
+        WITH p AS (SELECT box, south - 0.5 AS south, north + 0.5 AS north, west - 0.5 AS west, east + 0.5 AS east FROM ({BOXES})), w AS (SELECT *, 10 / (60 * cos(radians((south + north) / 2))) AS wide, 10::DOUBLE / 60 AS high FROM p),
+        r AS (SELECT *, unnest(range(0, greatest(1, CAST(floor((north - south) / high) AS BIGINT)))) AS r FROM w), q AS (SELECT *, unnest(range(0, greatest(1, CAST(floor((east - west) / wide) AS BIGINT)))) AS q FROM r),
+        x AS (SELECT box, south + (r + 0.5::DOUBLE) * high AS lat, west + (q + 0.5::DOUBLE) * wide AS lon FROM q)
+        SELECT box, count(*) AS points, count(*) > 48 AS exceeds, round(min(lat), 4) AS south, round(max(lon), 4) AS east FROM x JOIN ({NODES}) n ON k = 0 AND v IS NOT NULL
+           AND n.i = CAST(floor((lat - 57.5::DOUBLE) / 0.1::DOUBLE) AS BIGINT) AND n.j = CAST(floor((lon - 10) / 0.04::DOUBLE) AS BIGINT) GROUP BY box""",
+    "locate_tile": f"""
+        WITH g AS (SELECT i, j, 57.5::DOUBLE + i::DOUBLE / 10 AS lat2, 10 + j::DOUBLE / 25 AS lon2 FROM ({NODES}) WHERE k = 0), b AS (SELECT *, (south + north) / 2 AS lat, (west + east) / 2 AS lon FROM ({BOXES})), last AS (SELECT max(i) AS last_ FROM g),
+        n AS (SELECT box, i, j FROM (SELECT box, i, j, row_number() OVER (PARTITION BY box ORDER BY round(nm, 9), i * 50 + j) AS r FROM (SELECT box, i, j, {_hav('lat', 'lon', 'lat2', 'lon2')} AS nm FROM b, g WHERE i % 3 = 0 AND j % 3 = 0) WHERE nm <= 20) WHERE r = 1),
+        k AS (SELECT box, last_, greatest(0, i - 4) AS y0, least(last_, i + 4) AS y1, greatest(0, j - 4) AS x0, least(49, j + 4) AS x1 FROM n, last),
+        m AS (SELECT k.box, last_, y0, y1, x0, x1, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM k JOIN b ON b.box = k.box JOIN g ON i BETWEEN y0 AND y1 AND j BETWEEN x0 AND x1
+              AND lat2 BETWEEN south - 0.05::DOUBLE AND north + 0.05::DOUBLE AND lon2 BETWEEN west - 0.1::DOUBLE AND east + 0.1::DOUBLE GROUP BY ALL)
+        SELECT box, y0, y1, x0, x1, i0, i1, j0, j1, i0 = y0 AND y0 > 0 OR i1 = y1 AND y1 < last_ OR j0 = x0 AND x0 > 0 OR j1 = x1 AND x1 < 49 AS cut_off FROM m""",
+    "scan_forecast_json": """
+        WITH e AS (SELECT event_id // 8 AS point, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_id % 6 <> 0 THEN (user_id % 50)::DOUBLE / 10 END AS hs FROM events),
+        r AS (SELECT *, coalesce(t > max(t) OVER (PARTITION BY point ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AND point % 7 <> 0 AND point % 13 <> 0 AS kept FROM e)
+        SELECT point, CASE WHEN point % 13 <> 0 THEN round((point % 70)::DOUBLE / 50 + 57, 6) END AS source_lat, CASE WHEN point % 13 <> 0 THEN round((point % 100)::DOUBLE / 50 + 10, 6) END AS source_lon,
+               CASE WHEN point % 13 = 0 THEN 'failed' WHEN point % 7 = 0 THEN 'no-data' ELSE 'ok' END AS status, count(*) FILTER (kept) AS moments, max(t) FILTER (kept) AS last_s, max(hs) FILTER (kept) AS most FROM r GROUP BY point""",
 }
