@@ -47,10 +47,10 @@ def after_rerun(kind: Column, reruns: Column) -> Column:
 
 
 def summarise(members: DataFrame, keys: list[str], expected: int = EXPECTED) -> DataFrame:
-    """One row a departure from (keys, member, kind, duration_s, daylight, beat_share, motor_share, fuel_l, max_hs)."""
+    """One row a departure from (keys, member, kind, duration_s, daylight, beat_share, motor_share, fuel_l, max_hs); a member without a kind isn't finished and doesn't count."""
     good, names = F.col("kind") == "feasible", ["duration_s", "beat_share", "motor_share"]
     out = members.groupBy(*keys).agg(
-        F.count("*").alias("n"), count_of("feasible").alias("n_f"), count_of("infeasible").alias("n_inf"), count_of("inconclusive").alias("n_inc"), count_of("error").alias("n_err"),
+        F.count("kind").alias("n"), count_of("feasible").alias("n_f"), count_of("infeasible").alias("n_inf"), count_of("inconclusive").alias("n_inc"), count_of("error").alias("n_err"),
         F.max(F.when(good, F.col("duration_s"))).alias("worst_s"), F.array(*[F.struct(ascending(F.when(good, F.col(x).cast("double"))).alias("a")) for x in names]).alias("ordered_"),
         F.max(F.when(good, F.col("fuel_l"))).alias("fuel_worst"), F.count_if(good & F.col("daylight")).alias("k_daylight"),
         null_poisoned_max(F.col("max_hs"), good).alias("max_hs"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import angles as A
@@ -37,7 +37,12 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.summarise(members(spark, sf_dir).where("member < 12 + departure % 18"), ["departure"])
+    return E.summarise(at_sea(members(spark, sf_dir), c("member") >= 12 + c("departure") % 18), ["departure"])
+
+
+def at_sea(rows: DataFrame, unfinished: Column) -> DataFrame:
+    """Members without an outcome so far."""
+    return rows.withColumn("kind", F.when(~unfinished, c("kind")))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -47,7 +52,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 def rank_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: members to counts, order statistics, shares and the departures' order."""
     control = members(spark, sf_dir).where("member = 0").select("departure", c("duration_s").alias("control_s"))
-    some = E.summarise(members(spark, sf_dir).where("departure % 9 <> 0 OR member < 20"), ["departure"])
+    some = E.summarise(at_sea(members(spark, sf_dir), (c("departure") % 9 == 0) & (c("member") >= 20)), ["departure"])
     return E.rank_departures(some.join(control, "departure"))
 
 
@@ -285,14 +290,14 @@ def receipt_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     colour, _ = E.light()
     rows = summaries(spark, sf_dir).select("departure", "p50_s", colour.alias("colour"))
     receipt = F.to_json(F.struct("colour", "departure", F.coalesce("p50_s", F.lit(0)).alias("p50_s")))
-    actual = members(spark, sf_dir).where("member % 10 = 3").select("departure", "member", "duration_s")
-    once = actual.groupBy("departure").agg(F.min_by("duration_s", "member").alias("realized_s"))
+    sailed = c("member") % 10 == 3  # the members whose passage was sailed
+    once = members(spark, sf_dir).groupBy("departure").agg(F.min_by(F.when(sailed, c("duration_s")), F.when(sailed, c("member"))).alias("realized_s"))
     return rows.select("departure", F.sha2(receipt, 256).alias("receipt")).join(once, "departure", "left")
 
 
 def member_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "nation").select(c("n_nationkey").cast("long").alias("member"))
-    given = members(spark, sf_dir).where("kind <> 'error' AND member < 28").groupBy("departure").agg(F.collect_set("member").alias("have"))
+    given = members(spark, sf_dir).where("kind <> 'error'").groupBy("departure").agg(F.collect_set("member").alias("have"))
     return given.crossJoin(F.broadcast(known.agg(F.collect_set("member").alias("all")))).select("departure", F.size(F.array_intersect("all", "have")).alias("with_data"), F.size(F.array_except("all", "have")).alias("missing"), F.size(F.array_except("have", "all")).alias("unknown"))
 
 
@@ -422,6 +427,6 @@ ORACLE_SQL = {
         FROM (SELECT departure, p50_s, {_LIGHT} FROM ({ALL_SQL})) s LEFT JOIN (SELECT departure, min_by(duration_s, member) AS realized_s FROM ({MEMBERS}) WHERE member % 10 = 3 GROUP BY departure) USING (departure)""",
     "member_census": f"""
         SELECT departure, CAST(count(*) FILTER (member < 25) AS INTEGER) AS with_data, CAST(25 - count(*) FILTER (member < 25) AS INTEGER) AS missing, CAST(count(*) FILTER (member >= 25) AS INTEGER) AS unknown
-        FROM ({MEMBERS}) WHERE kind <> 'error' AND member < 28 GROUP BY departure""",
+        FROM ({MEMBERS}) WHERE kind <> 'error' GROUP BY departure""",
     "entropy_histogram": f"SELECT departure, round(sum(-p * log2(p)), 6) AS bits FROM (SELECT departure, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY departure) AS p FROM ({MEMBERS}) GROUP BY departure, kind) GROUP BY departure",
 }
