@@ -164,6 +164,7 @@ def result_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trap_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each harbour's outcome in its order; once one is reached, the rest aren't tried."""
+    # The outcomes
     miles, took = c("tws") * 3, unless(c("k") == 5, (c("tws") * 1000).cast("long"))
     outcome = (
         F.when(miles > 60, "for-langt").when(took.isNull() & (c("user_id") % 2 == 0), "for-sent").when(took.isNull(), "ingen-vei").when(took > LIMIT_S, "for-sent")
@@ -197,6 +198,7 @@ def combine_max_hs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The codes
     reached, own, searched, cut = c("k") % 2 == 0, c("user_id") % 3 == 0, c("event_id") % 3 == 0, c("event_id") % 5 == 0
     weather = (
         F.when(reached & own, "VAER_DEKNING_DELVIS_FELT").when(reached & searched, "VAER_DEKNING_SOK_UTENFOR_RUTE")
