@@ -1,4 +1,4 @@
-"""Queries of operators 3 and 8 over the table documents."""
+"""Queries of operators 3, 8 and 11 over the table documents."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import scratch_path, table
+from tidewright.llm.token_alignment import align
 from tidewright.llm.token_counts import token_counts
 from tidewright.llm.token_files import file_count, read_files, write_files
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 LIMIT = 1024
 END_ID = 2
 
@@ -27,6 +29,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(manifest, folder)
 
 
-QUERIES = {"op3_token_counts": op3_token_counts, "op8_token_files": op8_token_files}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return align(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES), file_count(spark, size))
+
+
+QUERIES = {"op11_token_alignment": op11_token_alignment, "op3_token_counts": op3_token_counts, "op8_token_files": op8_token_files}
 
 ORACLE_SQL: dict[str, str] = {}
