@@ -1,4 +1,4 @@
-"""Queries of operators 9 and 10 over the table documents."""
+"""Queries of operators 9, 10 and 13 over the table documents."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.llm.common import table
 from tidewright.llm.jaccard_join import JaccardJoin
 from tidewright.llm.language_id import language_id
+from tidewright.llm.quality import quality
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_language_id": op10_language_id, "op9_jaccard_join": op9_jaccard_join}
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op13_quality": op13_quality, "op10_language_id": op10_language_id, "op9_jaccard_join": op9_jaccard_join}
 
 ORACLE_SQL = {
     "op9_jaccard_join": """
