@@ -7,12 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.spatial import clipped, contained, crosses, overlapping, segments_meet
+from tidewright.operators.rings import Tiles, chords_against, points_within, ring_edges, ring_index
+from tidewright.operators.spatial import clipped, contained
 
 c = F.col
 #: Data quality classes from best to worst, and how many of the best are good.
 QUALITY, GOOD = ["A1", "A2", "B", "C", "D", "U"], 3
 TRUST = ["trygt", "usikkert", "no-go"]
+#: What is carried of an area.
+AREA = ["box", "kind", "depth", "quality"]
 
 
 def quality_rank(name: Column) -> Column:
@@ -25,31 +28,22 @@ def worst_trust(*ranks: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TRUST)), (F.greatest(*ranks) + 1).cast("int"))
 
 
-def crossing_flags(segments: DataFrame, rings: DataFrame, key: str, step: float) -> DataFrame:
-    """(key, box, first_in, last_in, crossed) of segments (lat, lon, lat2, lon2) and rings whose boxes meet: which ends lie within, and is an edge crossed."""
-    spans = segments.withColumns({"west": F.least("lon", "lon2"), "east": F.greatest("lon", "lon2"), "south": F.least("lat", "lat2"), "north": F.greatest("lat", "lat2"), "end_lat": c("lat2"), "end_lon": c("lon2")}).drop("lat2", "lon2")
-    met, n = overlapping(spans, rings.select("box", "south", "north", "west", "east", "ring"), step), F.size("ring2")
-    a, b = [c("lon"), c("lat")], [c("end_lon"), c("end_lat")]
-
-    def meets(i: Column) -> Column:
-        p, q = F.get(c("ring2"), i), F.get(c("ring2"), (i + 1) % n)
-        return segments_meet(a, b, [p["x"], p["y"]], [q["x"], q["y"]])
-
-    crossed = F.exists(F.sequence(F.lit(0), n - 1), meets)
-    return met.select(key, c("box2").alias("box"), crosses(*a[::-1], c("ring2")).alias("first_in"), crosses(*b[::-1], c("ring2")).alias("last_in"), crossed.alias("crossed"))
-
-
 def segments_hit(segments: DataFrame, rings: DataFrame, key: str, step: float) -> DataFrame:
-    """(key, box): an end lies within the ring or an edge is crossed."""
-    return crossing_flags(segments, rings, key, step).where("first_in or last_in or crossed").select(key, "box")
+    """(key, box) of segments (lat, lon, lat2, lon2) and rings: an end lies within the ring or an edge is crossed."""
+    return against(segments, rings, key, step).select(key, "box")
 
 
 def segments_within(segments: DataFrame, rings: DataFrame, key: str, step: float) -> DataFrame:
     """(key) of segments whose ends both lie within rings, and that cross no edge of any: on the safe side where rings adjoin."""
-    flags = crossing_flags(segments, rings, key, step).groupBy(key).agg(F.bool_or("first_in").alias("first_in"), F.bool_or("last_in").alias("last_in"), F.bool_or("crossed").alias("crossed"))
+    flags = against(segments, rings, key, step).groupBy(key).agg(*[F.bool_or(x).alias(x) for x in ("first_in", "last_in", "crossed")])
     return flags.where("first_in and last_in and not crossed").select(key)
 
 
+def against(segments: DataFrame, rings: DataFrame, key: str, step: float) -> DataFrame:
+    tiles = Tiles(step)
+    return chords_against(segments, ring_index(ring_edges(rings, ["box"]), ["box"], tiles), [key], ["box"], tiles)
+
+
 def along_tiles(segments: DataFrame, key: str, step_lon: float, step_lat: float) -> DataFrame:
     """(key, x, y) of the tiles that a segment passes through: the middles of the stretches between the grid lines it crosses."""
 
@@ -71,7 +65,17 @@ def point_verdicts(points: DataFrame, areas: DataFrame, key: str, need: Mapping[
 
     The rules in their order: drying ground; rocks, and shoals whose depth is unknown or less than needed; the depth band against the safety
     contour, the least band depth that suffices; beyond that, fairways and good data lift the trust unless a sounding guards the area; air draught; protected zones."""
-    contour, met, kind = safety_contour(areas, need), contained(points, areas, step), c("kind")
+    return _point_verdicts(points, contained(points, areas, step), areas, key, need)
+
+
+def chart_points(points: DataFrame, areas: DataFrame, key: str, need: Mapping[str, float], tiles: Tiles) -> DataFrame:
+    """The same of areas (box, ring, kind, depth, quality) bounded by rings; rows of one box are one area, holes among them."""
+    index = ring_index(ring_edges(areas, AREA), AREA, tiles)
+    return _point_verdicts(points, points_within(points, index, [key], AREA, tiles), areas, key, need)
+
+
+def _point_verdicts(points: DataFrame, met: DataFrame, areas: DataFrame, key: str, need: Mapping[str, float]) -> DataFrame:
+    contour, kind = safety_contour(areas, need), c("kind")
     facts = met.groupBy(key).agg(
         *_facts(kind, c("depth"), c("quality"), need), F.min_by(F.when(kind == "band", c("depth")), F.when(kind == "band", c("box"))).alias("band"),
         F.bool_or((kind == "fairway") | ((kind == "quality") & (quality_rank(c("quality")) < GOOD))).alias("trusted"),
@@ -93,6 +97,15 @@ def segment_verdicts(segments: DataFrame, areas: DataFrame, key: str, need: Mapp
     return _verdicts(segments.select(key).join(facts, key, "left"), key)
 
 
+def chart_chords(segments: DataFrame, areas: DataFrame, key: str, need: Mapping[str, float], tiles: Tiles) -> DataFrame:
+    """The same of areas bounded by rings: trust is lifted where areas that lift it hold both ends of the chord and it crosses no edge of any."""
+    met, kind = chords_against(segments, ring_index(ring_edges(areas, AREA), AREA, tiles), [key], AREA, tiles).join(F.broadcast(safety_contour(areas, need))), c("kind")
+    lifts = (kind == "fairway") | ((kind == "quality") & (quality_rank(c("quality")) < GOOD))
+    trusted = F.bool_or(lifts & c("first_in")) & F.bool_or(lifts & c("last_in")) & ~F.bool_or(lifts & c("crossed"))
+    facts = met.groupBy(key).agg(*_facts(kind, c("depth"), c("quality"), need), F.bool_or((kind == "band") & (c("depth") <= c("contour"))).alias("shallow"), trusted.alias("trusted"))
+    return _verdicts(segments.select(key).join(facts, key, "left"), key)
+
+
 def safety_contour(areas: DataFrame, need: Mapping[str, float]) -> DataFrame:
     """One row: the least depth of a band that suffices, NULL where none does."""
     return areas.where(c("kind") == "band").where(c("depth") >= need["depth"]).agg(F.min("depth").alias("contour"))
@@ -110,6 +123,7 @@ def _verdicts(rows: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumns({x: F.coalesce(x, F.lit(False)) for x in ("dry", "rock", "shoal", "rated", "guarded", "low", "season", "shallow", "trusted")})
     blocked, shallow, trusted = c("dry") | c("rock") | c("shoal"), c("shallow"), c("trusted")
     open_ = ~shallow & ~blocked
+    # The reasons' codes
     reasons = [
         (c("dry"), "torrfall"), (c("rock") | c("shoal"), "skjaer-buffer"), (shallow, "grunnere-enn-sikkerhetskontur"), (open_ & trusted & c("guarded"), "usikker-sondering-i-baand"),
         (open_ & ~trusted & c("rated"), "lav-datakvalitet"), (open_ & ~trusted & ~c("rated"), "utenfor-farled-lav-tetthet"), (c("low"), "for-lav-luftspenn"), (c("season"), "vernesone-aktiv"),

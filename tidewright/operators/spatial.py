@@ -7,8 +7,6 @@ many rows is split by the adaptive skew join, as both sides are plain equi-joins
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,13 +88,22 @@ def segments_meet(a: list[Column], b: list[Column], p: list[Column], q: list[Col
     return ((d1 * d2 < 0) & (d3 * d4 < 0)) | touch
 
 
-def nearest(points: DataFrame, sources: DataFrame, key: str, source: str, reach_nm: float, most_lat: float = 65.0) -> DataFrame:
+def nearest(points: DataFrame, sources: DataFrame, key: str, source: str, reach_nm: float) -> DataFrame:
     """(key, source, nm): the nearest source (lat2, lon2) of each point within reach, ties to the lesser source.
 
-    Tiles are as wide as the reach, up to the latitude most_lat, so that a source and the eight tiles about its own hold all points in reach."""
-    high, wide = reach_nm / 60, reach_nm / (60 * math.cos(math.radians(most_lat)))
-    about = sources.withColumns({"x": F.explode(F.sequence(F.floor(c("lon2") / wide) - 1, F.floor(c("lon2") / wide) + 1)), "y": F.floor(c("lat2") / high)})
-    about = about.withColumn("y", F.explode(F.sequence(c("y") - 1, c("y") + 1)))
-    met = points.withColumns({"x": F.floor(c("lon") / wide), "y": F.floor(c("lat") / high)}).join(about, ["x", "y"])
+    Bands of latitude are as high as the reach, and each is cut into columns around the globe, no narrower than the reach at its latitude
+    nearest to a pole; about the poles a band is one column. So a source and its neighbours in three bands hold all points in reach."""
+    high = reach_nm / 60
+
+    def columns(y: Column) -> Column:
+        farthest = F.greatest(F.abs(y * high), F.abs((y + 1) * high)) + high
+        return F.when(farthest >= 90, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(farthest, F.lit(90.0)))) / high))).cast("long")
+
+    def column(lon: Column, y: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) * columns(y) / 360), columns(y))
+
+    about = sources.withColumn("y", F.explode(F.sequence(F.floor(c("lat2") / high) - 1, F.floor(c("lat2") / high) + 1)))
+    near = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(column(c("lon2"), c("y")) + i, columns(c("y")))))
+    met = points.withColumn("y", F.floor(c("lat") / high)).withColumn("x", column(c("lon"), c("y"))).join(about.withColumn("x", F.explode(near)), ["x", "y"])
     met = met.withColumn("nm", distance_nm(c("lat"), c("lon"), c("lat2"), c("lon2"))).where(c("nm") <= reach_nm)
     return met.groupBy(key).agg(F.min_by(F.struct(source, "nm"), F.struct(F.round("nm", 9), c(source))).alias("b")).select(key, "b.*")

@@ -173,7 +173,7 @@ def chord_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluate_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each route's steps against the weather's window, wind, the boat's limits, its speed and the chart, in that order."""
-    blocked = C.segments_hit(sailed_legs(spark, sf_dir).where(near_legs()), rings(spark, sf_dir).where("box % 5 = 0"), "leg", 0.1).select("leg").distinct().withColumn("blocked", F.lit(True))
+    blocked = C.segments_hit(sailed_legs(spark, sf_dir), rings(spark, sf_dir).where("box % 5 = 0"), "leg", 0.1).select("leg").distinct().withColumn("blocked", F.lit(True))
     tws = c("c1") % 31
     rows = steps(spark, sf_dir).withColumn("leg", c("route") * 100 + c("seq")).join(blocked, "leg", "left")
     rules = [
@@ -188,10 +188,6 @@ def sailed_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select((c("route") * 100 + c("seq")).alias("leg"), "lat", "lon", F.lead("lat").over(order).alias("lat2"), F.lead("lon").over(order).alias("lon2")).where("lat2 is not null")
 
 
-def near_legs() -> Column:
-    return (F.abs(c("lat2") - c("lat")) < 0.4) & (F.abs(c("lon2") - c("lon")) < 0.4)
-
-
 def position_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("route"), ((c("o_custkey") * 977) % 30000 - 5000).cast("long").alias("at_s"))
     return E.position_at(steps(spark, sf_dir), asked).select("route", "at_s", *six("lat", "lon"))
@@ -468,7 +464,7 @@ ORACLE_SQL = {
                {_NEAR.format('lat2', 'lon2', '58.0', '11.0')} OR {_NEAR.format('lat2', 'lon2', '58.1', '11.1')} AS point {_P}""",
     "evaluate_route": f"""
         WITH st AS ({STEPS}), l AS (SELECT route * 100 + seq AS event_id, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM st WINDOW w AS (PARTITION BY route ORDER BY seq)),
-        {_flags("SELECT * FROM l WHERE lat2 IS NOT NULL AND abs(lat2 - lat) < 0.4 AND abs(lon2 - lon) < 0.4")},
+        {_flags("SELECT * FROM l WHERE lat2 IS NOT NULL")},
         blocked AS (SELECT DISTINCT event_id AS leg FROM f WHERE box % 5 = 0 AND (first_in OR last_in OR crossed)),
         kinds AS (
             SELECT st.*, CASE WHEN t_s > 18000 OR c1 % 37 = 0 THEN 'noWeather' WHEN c1 % 31 > 27.5 OR coalesce(hs > 3.6, false) THEN 'boatLimits'

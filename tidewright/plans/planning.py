@@ -15,7 +15,7 @@ from tidewright.operators import grid as G
 from tidewright.operators import spatial as P
 from tidewright.operators.ensemble import after_rerun, kendall
 from tidewright.plans.grid import AXES, CODED, MET, _blocks, _code, places
-from tidewright.plans.passage import _AREAS, _CHORDS, _RINGS, _SIDES, NEED, _flags, areas, chords, near_legs, sailed_legs, six, unless
+from tidewright.plans.passage import _AREAS, _CHORDS, _RINGS, _SIDES, NEED, _flags, areas, chords, sailed_legs, six, unless
 from tidewright.plans.proxies import BOXES, MEMBERS, NODES, POSITIONS, STEPS, boxes, members, nodes, positions, steps, table
 from tidewright.plans.scalars import _MOMENTS, ALTITUDE, BRG, HAV, between
 from tidewright.plans.voyage import rings
@@ -134,7 +134,7 @@ def pad_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leg's verdict by the chart alone: land, traffic rules and clearance fail it, uncertainty and sailing along a lane flag it."""
-    legs = sailed_legs(spark, sf_dir).where(near_legs())
+    legs = sailed_legs(spark, sf_dir)
     hit = C.segments_hit(legs, rings(spark, sf_dir), "leg", 0.1).groupBy("leg").agg(F.bool_or(c("box") % 5 == 0).alias("land"), F.bool_or(c("box") % 5 == 1).alias("unsure"))
     rule, clear = c("leg") % 7, c("leg") % 11 != 3
     verdict = F.when(c("land"), "no-go/land").when(rule == 0, "no-go/tss").when(~clear, "no-go/clearance").when(c("unsure"), "usikkert").when(rule == 1, "trygt/along").otherwise("ok")
@@ -601,7 +601,7 @@ ORACLE_SQL = {
         SELECT box, round(west - pad, 6) AS west, round(south - pad, 6) AS south, round(east + pad, 6) AS east, round(north + pad, 6) AS north, round(west - 0.1::DOUBLE, 6) AS tile_west, round(south - 0.05::DOUBLE, 6) AS tile_south,
                round(east + 0.1::DOUBLE, 6) AS tile_east, round(north + 0.05::DOUBLE, 6) AS tile_north FROM (SELECT *, greatest((box % 9)::DOUBLE / 8, 0.5) AS pad FROM ({BOXES}))""",
     "recheck": f"""
-        WITH st AS ({STEPS}), l AS (SELECT * FROM ({_LEGS}) WHERE lat2 IS NOT NULL AND abs(lat2 - lat) < 0.4 AND abs(lon2 - lon) < 0.4), {_flags('SELECT * FROM l')},
+        WITH st AS ({STEPS}), l AS (SELECT * FROM ({_LEGS}) WHERE lat2 IS NOT NULL), {_flags('SELECT * FROM l')},
         hit AS (SELECT event_id, bool_or(box % 5 = 0) AS land, bool_or(box % 5 = 1) AS unsure FROM f WHERE first_in OR last_in OR crossed GROUP BY event_id)
         SELECT l.event_id AS leg, CASE WHEN land THEN 'no-go/land' WHEN l.event_id % 7 = 0 THEN 'no-go/tss' WHEN l.event_id % 11 = 3 THEN 'no-go/clearance' WHEN unsure THEN 'usikkert' WHEN l.event_id % 7 = 1 THEN 'trygt/along' ELSE 'ok' END AS verdict
         FROM l LEFT JOIN hit ON hit.event_id = l.event_id""",
