@@ -41,21 +41,24 @@ ORACLE_SQL = {
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
             FROM turns),
         summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY place) - size AS before, 24 + length(e_role) + length(e_text) AS chars FROM sized),
-        roomy AS (
-            SELECT *, greatest(1, {WINDOW_TOKENS - HISTORY_TOKENS} - coalesce(max(CASE WHEN place = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id), 0)) AS room
-            FROM summed),
+        led AS (SELECT *, coalesce(max(CASE WHEN place = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id), 0) AS lead_size FROM summed),
+        roomy AS (SELECT *, greatest(1, {WINDOW_TOKENS - HISTORY_TOKENS} - lead_size) AS room FROM led),
         cut AS (SELECT *, before // room AS stretch, (before + size - 1) // room AS until FROM roomy),
         opened AS (
             SELECT *, stretch <> until OR coalesce(stretch <> lag(stretch) OVER o OR lag(stretch) OVER o <> lag(until) OVER o, true) AS opens
             FROM cut WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
-        ahead AS (
-            SELECT *, min(CASE WHEN opens THEN before END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_from
+        seen AS (
+            SELECT *, min(CASE WHEN opens THEN before * 4294967296 + size END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next
             FROM opened),
+        ahead AS (
+            SELECT *, next // 4294967296 AS next_from,
+                   CASE WHEN next % 4294967296 > room THEN least({HISTORY_TOKENS}, {WINDOW_TOKENS} - lead_size - next % 4294967296) ELSE {HISTORY_TOKENS} END AS history
+            FROM seen),
         totals AS (
             SELECT conv_id, count(*) AS n_turns,
                    sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place), '')) AS turns_sha256,
                    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '') AS targets,
-                   sum(chars) + coalesce(sum(CASE WHEN next_from - before <= {HISTORY_TOKENS} AND NOT (place = 1 AND role = 'system') THEN chars END), 0)
+                   sum(chars) + coalesce(sum(CASE WHEN next_from - before <= history AND NOT (place = 1 AND role = 'system') THEN chars END), 0)
                    + (sum(CASE WHEN opens THEN 1 ELSE 0 END) - 1) * coalesce(sum(CASE WHEN place = 1 AND role = 'system' THEN chars END), 0) AS formatted_chars
             FROM ahead GROUP BY conv_id)
         SELECT conv_id, n_turns, turns_sha256, CAST(length(targets) AS BIGINT) AS loss_chars, sha256(targets) AS loss_sha256,

@@ -2,8 +2,9 @@
 
 Prefix sums of the turns' tokens cut a conversation into spans at turn boundaries: the prefix sum is marked off in stretches of what the budget
 leaves beside the system turn and the history, the turns that lie within one stretch are a span, and a turn over a mark is a span of
-its own. So no turn is ever split, capped or dropped, and no window exceeds the budget unless one turn alone does. A window is a span's turns, led by the
-conversation's system turn and by the last turns of the span before it as far as the history budget reaches. Repeated turns are
+its own. A window is a span's turns, led by the conversation's system turn and by the last turns of the span before it as far as the history budget
+reaches; a turn that takes more than its stretch leaves its window less history, or none. So no turn is ever split, capped or dropped, and no window
+exceeds the budget unless one turn and the system turn together do. Repeated turns are
 context only: the loss mask covers the text of an assistant's turn in the one window whose span owns it.
 
 The template writes a turn as <|im_start|>role, newline, text, <|im_end|>, newline. Inside texts and roles a backslash is doubled and
@@ -56,15 +57,17 @@ def windows(turns: DataFrame, window_tokens: int = WINDOW_TOKENS, history_tokens
     so_far = conversation.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"place": F.row_number().over(conversation), "before": F.sum("size").over(so_far) - F.col("size")})
     head = (F.col("place") == 1) & (F.col("role") == "system")
-    room = F.greatest(F.lit(1), F.lit(window_tokens - history_tokens) - F.coalesce(F.first(F.when(head, F.col("size")), ignorenulls=True).over(so_far), F.lit(0)))
-    rows = rows.withColumn("room", room).withColumns({"stretch": F.floor(F.col("before") / F.col("room")), "until": F.floor((F.col("before") + F.col("size") - 1) / F.col("room"))})
+    rows = rows.withColumn("system_size", F.coalesce(F.first(F.when(head, F.col("size")), ignorenulls=True).over(so_far), F.lit(0)))
+    rows = rows.withColumn("room", F.greatest(F.lit(1), window_tokens - history_tokens - F.col("system_size"))).withColumns({"stretch": F.floor(F.col("before") / F.col("room")), "until": F.floor((F.col("before") + F.col("size") - 1) / F.col("room"))})
     # a mark lies within this turn, or within the last one or before this
     rows = rows.withColumn("opens", F.coalesce((F.col("stretch") != F.col("until")) | (F.col("stretch") != F.lag("stretch").over(conversation)) | (F.lag("stretch").over(conversation) != F.lag("until").over(conversation)), F.lit(True)))
     rows = rows.withColumn("window", F.sum(F.col("opens").cast("long")).over(so_far) - 1)
     # where the next span begins in the prefix sum, for the turns that it repeats
     ahead = Window.partitionBy("conv_id").orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("next_from", F.min(F.when(F.col("opens"), F.col("before"))).over(ahead))
-    repeats = F.coalesce((F.col("next_from") - F.col("before") <= history_tokens) & ~((F.col("place") == 1) & (F.col("role") == "system")), F.lit(False))
+    rows = rows.withColumn("next", F.min(F.when(F.col("opens"), F.struct("before", "size"))).over(ahead))
+    left = window_tokens - F.col("system_size") - F.col("next.size")
+    history = F.when(F.col("next.size") > F.col("room"), F.least(F.lit(history_tokens), left)).otherwise(history_tokens)  # a turn over a mark is a span of its own
+    repeats = F.coalesce((F.col("next.before") - F.col("before") <= history) & ~((F.col("place") == 1) & (F.col("role") == "system")), F.lit(False))
     uses = F.when(repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     turn = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END))
     rows = rows.withColumn("written", turn).withColumn("text_from", F.char_length(escaped_role(F.col("role"))) + len(START) + 1).withColumn("text_chars", F.char_length(escaped(F.col("text"))))
