@@ -1,6 +1,5 @@
 """Values worked out by hand, and operators that SQL does not express against a plainer way."""
 
-import heapq
 import math
 
 import pytest
@@ -54,21 +53,6 @@ def test_fnv(spark):
     assert {r.w: r.h for r in found} == {w: plain(w) for w in words}
 
 
-def test_field_equals_dijkstra(spark):
-    edges = {}
-    for a, b, w in voyage.field_edges(spark).collect():
-        edges.setdefault(a, []).append((b, w))
-    best, heap = {}, [(0.0, 0)]
-    while heap:
-        d, a = heapq.heappop(heap)
-        if a not in best:
-            best[a] = d
-            for b, w in edges.get(a, []):
-                heapq.heappush(heap, (d + w, b))
-    found = {r.node: r.d for r in voyage.distance_field(spark, "").collect()}
-    assert found.keys() == best.keys() and all(math.isclose(found[k], best[k], abs_tol=1e-6) for k in best)
-
-
 def test_empty_and_missing(spark):
     steps = spark.createDataFrame([], "route long, seq long, t_s long, lat double, lon double, flags int")
     assert routes.legs(steps).count() == 0 and routes.totals(steps, {"motor": 1, "night": 2}).count() == 0

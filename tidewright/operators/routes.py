@@ -101,16 +101,3 @@ def placed(rows: DataFrame, keys: list[str], bucket: Column, order: list) -> Dat
     counts = rows.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_")).withColumn("before_", F.coalesce(before, F.lit(0))).drop("n_")
     within = F.row_number().over(Window.partitionBy(*keys, "bucket_").orderBy(*order))
     return rows.withColumn("within_", within).join(counts, [*keys, "bucket_"]).withColumn("place", (c("before_") + c("within_")).cast("int")).drop("bucket_", "within_", "before_")
-
-
-def relaxed(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """(node, d): least sums of weights from the sources over edges (a, b, w); only nodes that got nearer go on in the next round.
-
-    The number of rounds bounds the edges of a path; each ends in a checkpoint in the shared folder."""
-    best = sources.select("node", c("d").cast("double").alias("d"), F.lit(True).alias("fresh"))
-    for _ in range(rounds):
-        offers = best.where("fresh").join(edges, c("node") == c("a")).select(c("b").alias("node"), (c("d") + c("w")).alias("offer")).groupBy("node").agg(F.min("offer").alias("offer"))
-        best = best.join(offers, "node", "full").select("node", F.least("d", "offer").alias("d"), (c("offer").isNotNull() & (c("d").isNull() | (c("offer") < c("d")))).alias("fresh")).checkpoint()
-        if best.where("fresh").isEmpty():
-            break
-    return best.select("node", "d")

@@ -14,7 +14,6 @@ from tidewright.plans.proxies import BOXES, POSITIONS, STEPS, boxes, positions,
 c = F.col
 COSTS = ["c1", "c2", "c3", "c4"]
 BITS = {"motor": 1, "beat": 3, "night": 2}
-SIDE = 40
 
 
 def rect_mask_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,22 +141,6 @@ def label_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chains(labels)
 
 
-def field_edges(spark: SparkSession) -> DataFrame:
-    """Eight neighbours in a square of cells of which some are closed."""
-    cells = spark.range(0, SIDE * SIDE).select(c("id").alias("a"), F.floor(c("id") / SIDE).alias("y"), (c("id") % SIDE).alias("x")).where("a % 7 <> 3")
-    turns = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-    ends = F.explode(F.array(*[F.struct((c("y") + dy).alias("y"), (c("x") + dx).alias("x"), F.lit(2.0**0.5 if dy and dx else 1.0).alias("w")) for dy, dx in turns]))
-    to = cells.select("a", ends.alias("e")).where(f"e.y BETWEEN 0 AND {SIDE - 1} AND e.x BETWEEN 0 AND {SIDE - 1}")
-    return to.select("a", (c("e.y") * SIDE + c("e.x")).alias("b"), "e.w").where("b % 7 <> 3")
-
-
-def distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances in the field from its first cell, by relaxation until nothing gets nearer."""
-    checkpoint_folder(spark)
-    found = R.relaxed(field_edges(spark), spark.createDataFrame([(0, 0.0)], "node long, d double"), SIDE * SIDE)
-    return found.select("node", F.round("d", 6).alias("d"))
-
-
 def tiles_for_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded by half a degree."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", (50 + c("n_nationkey") / 4 - 0.5).alias("south"), (51 + c("n_nationkey") / 4 + 0.5).alias("north"), (4 + c("n_nationkey") / 3 - 0.5).alias("west"), (4.5 + c("n_nationkey") / 3 + 0.5).alias("east"))
@@ -216,7 +199,7 @@ def scan_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rect_mask_points, rect_mask_segments, bbox_overlap, pip, pip_any, seg_intersect, dist_polygon, season_active, safety_contour, legs, totals, hourly_track, longest_gap, backoff_index, sample_times,
-    pareto_front, cost_score, worst_order, rank_alternatives, isochrone_snapshot, label_chain, distance_field, tiles_for_bounds, tile_select, time_bracket, distance_stats, nearest_by_dot, manifest_dedupe, scan_markup)}
+    pareto_front, cost_score, worst_order, rank_alternatives, isochrone_snapshot, label_chain, tiles_for_bounds, tile_select, time_bracket, distance_stats, nearest_by_dot, manifest_dedupe, scan_markup)}
 
 HAV = "2 * asin(least(1.0, sqrt(power(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * power(sin(radians({3} - {1}) / 2), 2))))"
 BRG = "((degrees(atan2(sin(radians({3} - {1})) * cos(radians({2})), cos(radians({0})) * sin(radians({2})) - sin(radians({0})) * cos(radians({2})) * cos(radians({3} - {1})))) + 360) % 360)"

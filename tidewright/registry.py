@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import charting, ensemble, grid, packages, passage, planning, scalars, voyage
+from tidewright.plans import charting, ensemble, fields, grid, packages, passage, planning, scalars, voyage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [ensemble, scalars, grid, voyage, passage, packages, planning, charting]
+MODULES: list = [ensemble, scalars, grid, voyage, passage, packages, planning, charting, fields]
 
 
 def queries() -> dict[str, Query]:
