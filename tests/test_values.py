@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tidewright.functions import angles, seaway, sun, texts
 from tidewright.operators import grid, routes
-from tidewright.plans import voyage
 
 
 def one(spark, *columns):

@@ -12,6 +12,8 @@ from tidewright.operators import grid as G
 from tidewright.plans.grid import CODED
 from tidewright.plans.proxies import BOXES, MEMBERS, NODES, POSITIONS, STEPS, boxes, members, nodes, positions, steps, table
 from tidewright.plans.scalars import n180
+from tidewright.sources.files import scratch
+from tidewright.sources.layers import read_layers, write_layers
 
 c = F.col
 N360 = "((({0}) % 360 + 360) % 360)"
@@ -139,6 +141,30 @@ def layer_deserialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bi", "bj", "k", "place", F.conv(F.substr("bytes", c("place") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("code"))
 
 
+def layer_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The grid's even and odd steps as two layers in files of a folder of their own."""
+    rows = G.coded(nodes(spark, sf_dir)).withColumns({"layer": F.when(c("k") % 2 == 0, "even").otherwise("odd"), "k": F.floor(c("k") / 2)})
+    place = {"lat0": 57.5, "lon0": 10.0, "lat_step": 0.1, "lon_step": 0.04, "t0": 0.0, "dt": 7200.0}
+    folder = scratch(spark, "layers")
+    write_layers(rows.withColumns({k: F.lit(v) for k, v in place.items()}), folder, side=G.BLOCK)
+    return folder
+
+
+def from_layers(rows: DataFrame) -> DataFrame:
+    k = c("k") * 2 + F.when(c("file").startswith("odd"), 1).otherwise(0)
+    return rows.select(*[x.cast("long").alias(name) for name, x in (("i", c("i")), ("j", c("j")), ("k", k))], "code", F.round("value", 6).alias("value"))
+
+
+def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid written as binary layers and read back, nodes without a value among them."""
+    return from_layers(read_layers(spark, layer_folder(spark, sf_dir)))
+
+
+def layer_block_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One block of the files' layers from its own ranges, two of its steps."""
+    return from_layers(read_layers(spark, layer_folder(spark, sf_dir)).where("bi = 0 and bj = 1 and k between 1 and 2"))
+
+
 def block_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each block's bytes begin and how many they are, in the order of step and block."""
     blocks = layer_serialize(spark, sf_dir).select("bi", "bj", "k", F.floor(F.length("bytes") / 2).cast("long").alias("length"))
@@ -163,7 +189,7 @@ def verify_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cert_accept, shared_cert_accept, field_presence, missing_field_flags, harbour_approachable, course_to_steer, perturbation_plan, display_flags, flag_label, lattice_points, slice_block, regular_values,
-    layer_serialize, layer_deserialize, block_ranges, label_insert, verify_attrs)}
+    layer_serialize, layer_deserialize, layer_files, layer_block_read, block_ranges, label_insert, verify_attrs)}
 
 _CERTS = """
     SELECT o_orderkey AS tile, o_custkey AS package, ['current', 'current-coastal'][o_orderkey % 2 + 1] AS field, o_orderkey % 7 <> 0 AS present, o_orderkey % 9 <> 0 AS whole, o_orderkey % 5 = 0 AS clipped,
@@ -192,6 +218,10 @@ def _steer() -> str:
 
 
 _BYTES = f"SELECT i // 32 AS bi, j // 32 AS bj, k, string_agg(printf('%02x', code), '' ORDER BY i, j) AS bytes FROM ({CODED}) GROUP BY ALL"
+_FILES = f"""
+    WITH n AS (SELECT * FROM ({CODED})), g AS (SELECT i, j, k FROM (SELECT unnest(range(0, (SELECT max(i) + 1 FROM n))) AS i), (SELECT unnest(range(0, 50)) AS j), (SELECT unnest(range(0, 8)) AS k))
+    SELECT i, j, k, coalesce(code, 255) AS code, round(CASE WHEN code <> 255 THEN low + code * scale END, 6) AS value FROM g LEFT JOIN n USING (i, j, k)"""
+
 ORACLE_SQL = {
     "cert_accept": f"SELECT tile, CASE WHEN NOT present OR error IS NULL THEN 'no-certificate' WHEN clipped THEN 'clipping' WHEN error > 1 THEN 'implausible' ELSE 'accepted' END AS verdict FROM ({_CERTS})",
     "shared_cert_accept": f"""
@@ -221,6 +251,8 @@ ORACLE_SQL = {
         SELECT cell, step, round(v * 3600 / 1852, 6) AS kn FROM (SELECT cell, step, CASE WHEN cell % 11 <> 0 THEN cell * 7 % 500 END AS source, CASE WHEN step <> 4 THEN (step * 3 + 1) % 8 END AS t
             FROM (SELECT unnest(range(0, 300)) AS cell), (SELECT unnest(range(0, 6)) AS step)) LEFT JOIN ({NODES}) ON i * 50 + j = source AND k = t""",
     "layer_serialize": _BYTES,
+    "layer_files": _FILES,
+    "layer_block_read": f"SELECT * FROM ({_FILES}) WHERE i < 32 AND j >= 32 AND k // 2 BETWEEN 1 AND 2",
     "layer_deserialize": f"SELECT i // 32 AS bi, j // 32 AS bj, k, CAST(row_number() OVER (PARTITION BY i // 32, j // 32, k ORDER BY i, j) - 1 AS INTEGER) AS place, code FROM ({CODED})",
     "block_ranges": f"""
         SELECT bi, bj, k, length, CAST(coalesce(sum(length) OVER (PARTITION BY k ORDER BY bi, bj ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
