@@ -28,17 +28,36 @@ def hard_limit(tws: Column, band: Column, hs: Column, max_tws: float, max_hs: fl
     return F.when(tws > max_tws - band, "tws").when(F.coalesce(hs > max_hs, F.lit(False)), "hs").otherwise("ok")
 
 
-def kinematics(lat: Column, lon: Column, heading: Column, wind_from: Column, tws: Column, hs: Column, waves_from: Column, u: Column, v: Column, step_s: int, motor_below: float, motor_kn: float) -> dict[str, Column]:
-    """twa, bsp, motor, sog, course, nm and the next position of one step; speeds are NULL where the boat stands still. Waves without a direction come with the wind."""
+def through_water(heading: Column, wind_from: Column, tws: Column, hs: Column, waves_from: Column, motor_below: float, motor_kn: float) -> dict[str, Column]:
+    """twa, bsp and motor of one step. Waves without a direction come with the wind."""
     twa = angle_between(wind_from, heading)
     waves = F.when(hs.isNull(), 1.0).otherwise(wave_factor(hs, F.coalesce(angle_between(waves_from, heading), twa)))
     sails = boat_speed(tws, twa) * waves
     motor = sails < motor_below
-    bsp = F.when(motor, motor_kn * waves).otherwise(sails)
-    east, north = bsp * F.sin(F.radians(heading)) + F.coalesce(u, F.lit(0.0)), bsp * F.cos(F.radians(heading)) + F.coalesce(v, F.lit(0.0))
-    sog = F.when((bsp > STILL_KN) & (F.hypot(east, north) > STILL_KN), F.hypot(east, north))
-    course, nm = F.when(sog.isNotNull(), norm360(F.degrees(F.atan2(east, north)))), sog * step_s / 3600
-    return {"twa": twa, "bsp": bsp, "motor": motor, "sog": sog, "course": course, "nm": nm, "next_lat": step_lat(lat, course, nm), "next_lon": step_lon(lat, lon, course, nm)}
+    return {"twa": twa, "bsp": F.when(motor, motor_kn * waves).otherwise(sails), "motor": motor}
+
+
+def over_ground(heading: Column, bsp: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    """Speeds to the east and north."""
+    return bsp * F.sin(F.radians(heading)) + F.coalesce(u, F.lit(0.0)), bsp * F.cos(F.radians(heading)) + F.coalesce(v, F.lit(0.0))
+
+
+def made_good(bsp: Column, east: Column, north: Column) -> Column:
+    """Speed over ground, NULL where the boat stands still."""
+    return F.when((bsp > STILL_KN) & (F.hypot(east, north) > STILL_KN), F.hypot(east, north))
+
+
+def course_of(east: Column, north: Column) -> Column:
+    return norm360(F.degrees(F.atan2(east, north)))
+
+
+def kinematics(lat: Column, lon: Column, heading: Column, wind_from: Column, tws: Column, hs: Column, waves_from: Column, u: Column, v: Column, step_s: int, motor_below: float, motor_kn: float) -> dict[str, Column]:
+    """twa, bsp, motor, sog, course, nm and the next position of one step; speeds are NULL where the boat stands still."""
+    water = through_water(heading, wind_from, tws, hs, waves_from, motor_below, motor_kn)
+    east, north = over_ground(heading, water["bsp"], u, v)
+    sog = made_good(water["bsp"], east, north)
+    course, nm = F.when(sog.isNotNull(), course_of(east, north)), sog * step_s / 3600
+    return water | {"sog": sog, "course": course, "nm": nm, "next_lat": step_lat(lat, course, nm), "next_lon": step_lon(lat, lon, course, nm)}
 
 
 def soft_costs(twa: Column, motor: Column, night: Column, against: Column, step_s: int, penalty_s: Column, beat_twa: float = 60.0) -> dict[str, Column]:
