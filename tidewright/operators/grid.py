@@ -115,6 +115,6 @@ def corners(queries: DataFrame, axes: dict[str, str]) -> DataFrame:
 
 def lookup(queries: DataFrame, nodes: DataFrame, axes: dict[str, str], key: str, values: dict[str, Column]) -> DataFrame:
     """(key, values): weighted sums over the corners; NULL if any corner that counts is missing or lies outside."""
-    met = corners(queries.select(key, *axes.values()), axes).join(nodes, list(axes), "left")
+    met = corners(queries.select(key, *axes.values()), axes).join(nodes.hint("merge"), list(axes), "left")  # the size of nodes made by exploding is guessed too low: not to be broadcast
     sums = [F.when(F.count(v) == F.count("*"), F.sum(c("w") * v)).alias(name) for name, v in values.items()]
     return met.groupBy(key).agg(*sums)
