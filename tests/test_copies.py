@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidewright.operators import charts as C
+from tidewright.operators import grid as G
+from tidewright.operators import spatial as P
 
 RING = "array(struct(0.0D AS x, 0.0D AS y), struct(1.0D AS x, 0.0D AS y), struct(1.0D AS x, 1.0D AS y), struct(0.0D AS x, 1.0D AS y))"
 
@@ -21,3 +23,42 @@ def test_flags_of_segments_come_from_every_copy_of_a_ring(spark):
     assert sorted(map(tuple, found.collect())) == [(1, True, False), (2, True, False), (3, False, False), (4, False, True), (5, False, True), (6, True, False)]
     hit = C.segments_hit(segments, squares(spark, 10), "leg", 0.7).groupBy("leg").count()
     assert sorted(map(tuple, hit.collect())) == [(1, 10), (2, 10), (4, 10), (5, 10), (6, 10)]
+
+
+def test_points_in_rings_alike_meet_every_copy(spark):
+    rings = squares(spark, 10).selectExpr("*", "ring[0].y AS south", "ring[2].y AS north", "ring[0].x AS west", "ring[1].x AS east")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5), (3, 0.5, 3.5), (4, 9.0, 9.0), (5, None, 0.5)], "id int, lat double, lon double")
+    shapes = P.alike(rings, ["south", "north", "west", "east", "ring"], "box")
+    assert sorted((r.box, sorted(r.copies)) for r in shapes.collect()) == [(0, list(range(0, 20, 2))), (1, list(range(1, 20, 2)))]
+    found = P.contained(points.select("lat", "lon").distinct(), shapes, 0.7)
+    assert found.count() == 2  # of places and shapes, not of points and rings
+    pairs = P.at_places(points, found, ["copies"]).select("id", F.explode("copies").alias("box"))
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, b) for i, odd in ((1, 0), (2, 0), (3, 1)) for b in range(odd, 20, 2))
+    inner = spark.createDataFrame([(1, 0.5, 0.5, 0.6, 0.6), (2, 0.5, 0.5, 0.5, 3.5), (3, 0.5, 0.5, 5.0, 0.5)], "k int, lat double, lon double, lat2 double, lon2 double")
+    assert [tuple(r) for r in C.segments_within(inner, rings, "k", 0.7).collect()] == [(1,)]
+
+
+def test_areas_of_the_same_bounds_add_up(spark):
+    kinds = [(1, "band", None, "U"), (4, "band", 6.5, "U"), (2, "band", 4.5, "U"), (3, "quality", None, "A1"), (5, "air", 5.0, "U"), (6, "band", 9.5, "U")]
+    areas = spark.createDataFrame([(b, 0.0, 1.0, 0.0, 1.0, *k) for b, *k in kinds], "box int, south double, north double, west double, east double, kind string, depth double, quality string")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5), (3, None, 0.5)], "id int, lat double, lon double")
+    chords = points.where("lat is not null").selectExpr("*", "lat + 0.1D AS lat2", "lon AS lon2")
+    need = {"depth": 4.0, "air": 6.0}
+    shallow, outside = ("no-go", ["grunnere-enn-sikkerhetskontur", "for-lav-luftspenn"]), ("usikkert", ["utenfor-farled-lav-tetthet"])
+    found = {r.id: (r.trust, r.reasons) for r in C.point_verdicts(points, areas, "id", need, 0.7).collect()}
+    assert found == {1: shallow, 2: shallow, 3: outside}
+    assert {r.id: (r.trust, r.reasons) for r in C.segment_verdicts(chords, areas, "id", need, 0.7).collect()} == {1: shallow, 2: shallow}
+
+
+def test_nearest_of_sources_at_one_place_is_the_least(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "id int, lat double, lon double")
+    sources = spark.createDataFrame([(9, 0.1, 0.0), (7, 0.1, 0.0), (8, -0.1, 0.0), (3, 0.15, 0.0)], "s int, lat2 double, lon2 double")
+    assert sorted((r.id, r.s) for r in P.nearest(points, sources, "id", "s", 12.0).collect()) == [(1, 7), (2, 7)]
+
+
+def test_nodes_are_never_broadcast(spark, capsys):
+    nodes = spark.createDataFrame([(i, j, k, float(i + j + k)) for i in (0, 1) for j in (0, 1) for k in (0, 1)], "i long, j long, k long, v double")
+    found = G.lookup(spark.createDataFrame([(1, 0.5, 0.5, 0.0)], "q int, fi double, fj double, fk double"), nodes, {"i": "fi", "j": "fj", "k": "fk"}, "q", {"v": F.col("v")})
+    assert [tuple(r) for r in found.collect()] == [(1, 1.0)]
+    found.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
