@@ -1,10 +1,17 @@
 """Things alike are looked at once: results stay those of every single one."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from tidewright.functions.angles import point_segment_nm
 from tidewright.operators import charts as C
+from tidewright.operators import corridors as K
 from tidewright.operators import grid as G
+from tidewright.operators import overlay as O
+from tidewright.operators import rings as R
 from tidewright.operators import spatial as P
+from tidewright.plans.charting import once
 
 RING = "array(struct(0.0D AS x, 0.0D AS y), struct(1.0D AS x, 0.0D AS y), struct(1.0D AS x, 1.0D AS y), struct(0.0D AS x, 1.0D AS y))"
 
@@ -62,3 +69,29 @@ def test_nodes_are_never_broadcast(spark, capsys):
     assert [tuple(r) for r in found.collect()] == [(1, 1.0)]
     found.explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_distances_have_the_last_digit_of_a_root_of_squares(spark):
+    rows = [(i, (i * 37 % 200) / 100, (i * 91 % 200) / 100) for i in range(500)]
+    frame = spark.createDataFrame(rows, "i int, y double, x double").withColumn("nm", point_segment_nm(F.col("y"), F.col("x"), *[F.lit(0.0)] * 5))
+    for _, y, x, nm in frame.collect():
+        assert nm == math.sqrt((x * 60) * (x * 60) + (y * 60) * (y * 60))
+
+
+def test_alerts_come_for_every_copy_of_a_ring(spark):
+    steps = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, 0.5, 0.6), (2, 0, 9.0, 9.0)], "route int, seq int, lat double, lon double")
+    assert sorted((r.route, r.box, r.nm) for r in K.alerts_near(steps, squares(spark, 3), "box", 0.1).collect()) == [(1, 0, 0.0), (1, 2, 0.0), (1, 4, 0.0)]
+
+
+def test_rings_are_looked_through_whole_for_crossings(spark, monkeypatch):
+    bow = "array(struct(0.0D AS x, 0.0D AS y), struct(1.0D AS x, 1.0D AS y), struct(1.0D AS x, 0.0D AS y), struct(0.0D AS x, 1.0D AS y))"
+    rings = squares(spark, 2).unionByName(spark.range(1).selectExpr("9L AS box", f"{bow} AS ring"))
+    edges = R.ring_edges(rings, ["box"])
+    assert [r.box for r in O.kinks(edges, ["box"]).collect()] == [9]
+    monkeypatch.setattr(O, "WHOLE", 3)  # all are long ones, dealt to tiles
+    assert [r.box for r in O.kinks(edges, ["box"]).collect()] == [9]
+
+
+def test_areas_with_one_ring_are_laid_out_once(spark):
+    rings = squares(spark, 4).selectExpr("box AS area", "ring", "0 AS chart")
+    assert sorted(r.area for r in once(rings, ["chart"]).collect()) == [0, 1]
