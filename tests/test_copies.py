@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidewright.functions import sun
 from tidewright.functions.angles import point_segment_nm
 from tidewright.operators import charts as C
 from tidewright.operators import corridors as K
@@ -95,3 +96,10 @@ def test_rings_are_looked_through_whole_for_crossings(spark, monkeypatch):
 def test_areas_with_one_ring_are_laid_out_once(spark):
     rings = squares(spark, 4).selectExpr("box AS area", "ring", "0 AS chart")
     assert sorted(r.area for r in once(rings, ["chart"]).collect()) == [0, 1]
+
+
+def test_sun_of_a_batch_is_the_sun_of_each(spark):
+    rows = spark.range(40).selectExpr("CAST(id * 4 - 75 AS DOUBLE) AS lat", "CAST(id * 7 % 360 - 180 AS DOUBLE) AS lon", "1704067200 + id * 9 * 86400 AS day")
+    for r in sun.with_events(rows).withColumn("one", sun.events(F.col("lat"), F.col("lon"), F.col("day"))).collect():
+        assert r.e.polar == r.one.polar and (r.e.sunrise is None) == (r.one.sunrise is None)
+        assert r.e.sunrise is None or (abs(r.e.sunrise - r.one.sunrise) < 1e-3 and abs(r.e.sunset - r.one.sunset) < 1e-3)
