@@ -139,7 +139,6 @@ def with_events(rows: DataFrame) -> DataFrame:
 
 def daylight_arrival(lat: Column, lon: Column, t: Column, margin_s: int = 3600) -> Column:
     """struct(is_daylight, kind)."""
-
     return bind(events(lat, lon, t), lambda e: arrival_verdict(e, t, margin_s))
 
 
@@ -160,6 +159,7 @@ def light_meets(e: Column, since: Column, until: Column, margin_s: int = 3600) -
 
 def daylight_within(lat: Column, lon: Column, since: Column, until: Column, margin_s: int = 3600) -> Column:
     """Does any day's light, from a day before to a day after, meet the span?"""
+
     def meets(e: Column) -> Column:
         return light_meets(e, since, until, margin_s)
 
