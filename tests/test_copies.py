@@ -103,3 +103,17 @@ def test_sun_of_a_batch_is_the_sun_of_each(spark):
     for r in sun.with_events(rows).withColumn("one", sun.events(F.col("lat"), F.col("lon"), F.col("day"))).collect():
         assert r.e.polar == r.one.polar and (r.e.sunrise is None) == (r.one.sunrise is None)
         assert r.e.sunrise is None or (abs(r.e.sunrise - r.one.sunrise) < 1e-3 and abs(r.e.sunset - r.one.sunset) < 1e-3)
+
+
+def test_chords_meet_areas_alike_once(spark, monkeypatch):
+    kinds = [(1, "fairway", None, "U"), (2, "quality", None, "D"), (3, "air", 5.0, "U"), (4, "season", None, "U"), (5, "band", 6.5, "U"), (6, "shoal", None, "U")]
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    areas = spark.createDataFrame([(b + n * 10, k, d, q, ring if b < 6 else [(x + 3, y) for x, y in ring]) for b, k, d, q in kinds for n in range(3)], "box long, kind string, depth double, quality string, ring array<struct<x: double, y: double>>")
+    rows = [(1, 0.5, 0.5, 0.6, 0.6), (2, 0.5, 0.5, 0.6, 0.6), (3, 0.5, 0.5, 0.5, 2.0), (4, 5.0, 5.0, 5.0, 6.0), (5, 0.5, 2.5, 0.5, 4.5), (6, 0.5, 0.5, None, None)]
+    chords = spark.createDataFrame(rows, "id int, lat double, lon double, lat2 double, lon2 double")
+    seen, plain = [], C.edges_crossed
+    monkeypatch.setattr(C, "edges_crossed", lambda ways, index, *rest: seen.append((ways.count(), index.where("ax is not null").select("box").distinct().count())) or plain(ways, index, *rest))
+    found = {r.id: (r.trust, r.reasons) for r in C.chart_chords(chords, areas, "id", {"depth": 4.0, "air": 6.0}, R.Tiles(0.7)).collect()}
+    low, shallow = ["for-lav-luftspenn", "vernesone-aktiv"], "grunnere-enn-sikkerhetskontur"
+    assert found == {1: ("no-go", [shallow, *low]), 2: ("no-go", [shallow, *low]), 3: ("no-go", [shallow, *low]), 4: ("usikkert", ["utenfor-farled-lav-tetthet"]), 5: ("no-go", ["skjaer-buffer"]), 6: ("no-go", [shallow, *low])}
+    assert seen == [(5, 2)]  # chords and areas unlike
