@@ -46,6 +46,8 @@ SKETCH_LEAST, SKETCH_MOST, SKETCH_CHUNK = 1 << 16, 1 << 24, 1 << 14
 CANDIDATES, FACTOR = 4, 32
 #: Pairs a task holds before it hands them on, and counts it compares at once.
 HELD, COMPARED = 50_000, 1 << 21
+#: Groups of the tables of pairs that are bounded at once.
+TABLES = 1 << 20
 #: Class ids up to which a filter of them is broadcast (16 MB); beyond, it is a shuffled join.
 BROADCAST_IDS = 2_000_000
 FIRST = "doc_id long, pick long, n_shingles long, cls long, other long, points binary, part int, chunk int, counts binary"
@@ -67,9 +69,12 @@ def coarse_bits(n: int) -> int:
 def point(shingles: np.ndarray) -> bytes:
     """The groups of a sorted set as gaps, a byte each; 255 adds as much to the next gap."""
     groups = (shingles >> np.uint64(64 - fine_bits(len(shingles)))).astype(np.int64)
-    far, rest = np.divmod(np.diff(groups, prepend=0), 255)
-    out = np.full(len(groups) + int(far.sum()), 255, np.uint8)
-    out[np.arange(len(groups)) + np.cumsum(far)] = rest
+    gaps = groups.copy()
+    gaps[1:] -= groups[:-1]
+    far = gaps // 255
+    before = np.cumsum(far)
+    out = np.full(len(groups) + int(before[-1]), 255, np.uint8)
+    out[np.arange(len(groups)) + before] = gaps - far * 255
     return out.tobytes()
 
 
@@ -224,7 +229,7 @@ def _first_scan(bits: int):
                 sizes.append(len(shingles))
                 names.append(set_digest(shingles) if len(shingles) else (None, None))
                 points.append(point(shingles) if len(shingles) else None)
-                np.add.at(sketch, (shingles >> np.uint64(64 - bits)).astype(np.int64), 1)
+                np.add.at(sketch, (shingles >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             yield pd.DataFrame({"doc_id": frame["id_"].astype("Int64"), "pick": frame["pick_"], "n_shingles": sizes, "cls": pd.array([x for x, _ in names], dtype="Int64"), "other": pd.array([x for _, x in names], dtype="Int64"), "points": points, "part": None, "chunk": None, "counts": None})
         part = TaskContext.get().partitionId()
         chunks = sketch.reshape(-1, SKETCH_CHUNK)
@@ -311,14 +316,23 @@ def _set_scan(shared: frozenset):
 
 
 def _not_bounded_away(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of pairs with both points, those whose sizes fit and whose points allow the overlap they need."""
+    """Of pairs with both points, those whose sizes fit and whose points allow the overlap they need. Many pairs are counted at once, the smaller point of each in a table of its own."""
     for frame in frames:
-        keep = []
-        for p, q, n, m in zip(frame["p"], frame["q"], frame["n"], frame["m"], strict=True):
-            if n > m:
-                p, q, n, m = q, p, m, n
-            keep.append(DEN * n >= NUM * m and bool(fine_bound(occupied(p, n, fine_bits(n)), [q], fine_bits(m))[0] >= least_overlap(n, m)))
-        yield frame.loc[keep, ["a", "b"]]
+        n, m = (frame[x].to_numpy(np.int64) for x in ("n", "m"))
+        low, high = np.minimum(n, m), np.maximum(n, m)
+        fits = np.flatnonzero(DEN * low >= NUM * high)
+        points = [(p, q) if x <= y else (q, p) for p, q, x, y in zip(frame["p"], frame["q"], n, m, strict=True)]
+        bits, finer = (np.array([fine_bits(x) for x in sizes.tolist()], np.int64) for sizes in (low, high))
+        room, keep = 1 << bits, []
+        for part in np.split(fits, np.flatnonzero(np.diff(np.cumsum(room[fits]) // TABLES)) + 1):
+            begins = np.cumsum(room[part]) - room[part]
+            table = np.zeros(int(room[part].sum()), bool)
+            groups, at = groups_of([points[i][0] for i in part])
+            table[groups + np.repeat(begins, np.diff(at))] = True
+            groups, at = groups_of([points[i][1] for i in part])
+            hits = np.concatenate([[0], np.cumsum(table[(groups >> np.repeat(finer[part] - bits[part], np.diff(at))) + np.repeat(begins, np.diff(at))])])
+            keep += part[hits[at[1:]] - hits[at[:-1]] >= least_overlap(low[part], high[part])].tolist()
+        yield frame.iloc[keep][["a", "b"]]
 
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,6 +417,7 @@ class JaccardJoin:
         """(a, b) without those that the points bound away."""
         points = self.classes.select("cls", "n", "points")
         both = pairs.join(points.toDF("a", "n", "p"), "a").join(points.toDF("b", "m", "q"), "b")
+        both = both.where(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
         return both.mapInPandas(_not_bounded_away, "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:

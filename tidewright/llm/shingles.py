@@ -6,20 +6,15 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-#: Distinct words a worker remembers at once; results do not depend on it.
-REMEMBERED = 50_000
 #: Odd multipliers, one for each place of a shingle.
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once for each distinct word."""
+class WordHashes:
+    """64-bit hashes of words. None is kept: to hash a word anew takes no longer than to look it up, and texts with many rare words would turn a store of them over again and again."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
@@ -27,13 +22,17 @@ def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    hashes = known.of(words)
     n = max(1, len(words) - WORDS + 1)
     mixed = np.full(n, len(words) if len(words) < WORDS else WORDS, np.uint64)
     for place in range(min(len(words), WORDS)):
-        mixed = (mixed ^ hashes[place : place + n]) * MULTIPLIERS[place]
+        mixed ^= hashes[place : place + n]
+        mixed *= MULTIPLIERS[place]
         mixed ^= mixed >> np.uint64(31)
-    return np.unique(mixed)
+    mixed.sort()
+    first = np.ones(n, bool)
+    np.not_equal(mixed[1:], mixed[:-1], out=first[1:])
+    return mixed[first]
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
