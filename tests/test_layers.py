@@ -103,3 +103,20 @@ def test_only_what_was_committed_is_read(spark, tmp_path):
     assert {r.file[0] for r in L.read_layers(spark, path).select("file").distinct().collect()} == {"a", "d"}
     L.write_layers(coded(spark, ("e",)), path, mode="overwrite")
     assert {r.file[0] for r in L.read_layers(spark, path).select("file").distinct().collect()} == {"e"}
+
+
+@pytest.mark.parametrize("delta", [False, True])
+def test_a_large_layer_is_written_in_parts(spark, tmp_path, monkeypatch, delta):
+    rows = coded(spark, ("a",)).withColumn("i", F.when(F.col("i") < 32, F.col("i")).otherwise(F.col("i") + 64))  # two rows of blocks without nodes
+    L.write_layers(rows, str(tmp_path / "p"), delta=delta)
+    monkeypatch.setattr(L, "PART", 32 * 70 * 3)
+    L.write_layers(rows, str(tmp_path / "q"), delta=delta)
+    whole, parts = (L.read_layers(spark, str(tmp_path / x)) for x in "pq")
+    assert whole.select("file").distinct().count() == 1 and parts.select("file").distinct().count() == 4
+    assert sorted(map(tuple, whole.drop("file").collect()), key=str) == sorted(map(tuple, parts.drop("file").collect()), key=str)
+    assert whole.count() == 104 * 70 * 3 and whole.where("bi in (1, 2) and code <> 255").count() == 0
+    asked = "bi in (2, 3) and bj = 1 and k = 2"
+    assert sorted(map(tuple, whole.where(asked).drop("file").collect()), key=str) == sorted(map(tuple, parts.where(asked).drop("file").collect()), key=str)
+    frames = sorted((x.first, x.frame) for x in L.LayerReader(str(tmp_path / "q")).partitions())
+    assert [(first, L.Frame(*f).rows, round(L.Frame(*f).lat0, 9)) for first, f in frames] == [(0, 32, 57.0), (1, 32, 60.2), (2, 32, 63.4), (3, 8, 66.6)]
+    assert all(L.Frame(*f).rows * L.Frame(*f).columns * L.Frame(*f).steps <= L.PART for _, f in frames)

@@ -5,8 +5,9 @@ node in row order all its steps. So a block's parameters and codes are two range
 filters on file, frame, bi and bj choose ranges, one on k chooses steps of what was read. A frame coded as differences in time is read the same
 way, as its differences run along a node's own steps.
 
-Writing takes rows dealt by layer (see write_layers); each task writes its layers under names of its own, and the commit puts them into the
-folder's manifest, which readers go by. What a task that failed or ran twice has left is in no manifest; an aborted write takes its files away.
+Writing takes rows dealt by layer and part (see write_layers). A part is some whole rows of blocks of a layer and a file of its own, a smaller layer at its
+own place. Each task writes its parts under names of its own, and the commit puts them into the folder's manifest with their first row of blocks;
+readers go by it. What a task that failed or ran twice has left is in no manifest; an aborted write takes its files away.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 #: The mark and the header of a frame: bits, rounding, kind and differences; place, steps in degrees, nodes, nodes of a block's side, first step, seconds a step, steps.
@@ -30,6 +32,8 @@ ROUNDINGS, KINDS, SENTINEL = ["nearest", "up", "down"], ["linear", "angle"], 255
 MANIFEST = "_layers.json"
 #: Blocks that one task reads at most.
 BLOCKS = 64
+#: Nodes of a part at most, unless one row of blocks has more. A task holds the codes of one part.
+PART = 1 << 19
 SCHEMA = "file string, frame int, bi int, bj int, i int, j int, k int, code int, value double"
 ROWS = "layer string, i long, j long, k long, code int, scale double, offset double, lat0 double, lon0 double, lat_step double, lon_step double, t0 double, dt double"
 
@@ -87,13 +91,13 @@ class Frame(NamedTuple):
 
 def frame_bytes(frame: Frame, codes: np.ndarray, scale: np.ndarray, offset: np.ndarray) -> bytes:
     """codes: (row, column, step); scale and offset: (block row, block column, step)."""
-    if frame.delta:
-        if frame.bits > 8:
-            raise ValueError("only codes of eight bits are written as differences")
-        codes = np.diff(codes.astype(np.int64), axis=2, prepend=0) % 256
+    if frame.delta and frame.bits > 8:
+        raise ValueError("only codes of eight bits are written as differences")
     down, across = frame.blocks
     index = np.stack([scale, offset], axis=3).astype("<f8").tobytes()
-    parts = [codes[bi * frame.side : (bi + 1) * frame.side, bj * frame.side : (bj + 1) * frame.side] for bi in range(down) for bj in range(across)]
+    parts = (codes[bi * frame.side : (bi + 1) * frame.side, bj * frame.side : (bj + 1) * frame.side] for bi in range(down) for bj in range(across))
+    if frame.delta:
+        parts = (np.diff(x.astype(np.int64), axis=2, prepend=0) % 256 for x in parts)
     return HEADER.pack(MAGIC, *frame) + index + b"".join(np.ascontiguousarray(x).astype(f"<u{frame.width}").tobytes() for x in parts)
 
 
@@ -117,13 +121,15 @@ def filesystem(folder: str):
     return store, root.rstrip("/")
 
 
-def listed(store, root: str) -> list[str]:
+def listed(store, root: str) -> dict[str, int]:
+    """The files of the manifest, and which row of blocks each begins with. A list, as folders written before have it, is of whole layers."""
     from pyarrow import fs
 
     if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
-        return []
+        return {}
     with store.open_input_stream(f"{root}/{MANIFEST}") as file:
-        return json.loads(file.read())
+        names = json.loads(file.read())
+    return names if isinstance(names, dict) else dict.fromkeys(names, 0)
 
 
 def frames(file) -> Iterator[tuple[int, int, Frame]]:
@@ -142,6 +148,7 @@ class Blocks(InputPartition):
     number: int
     begin: int
     frame: tuple
+    first: int
     blocks: list[tuple[int, int]]
 
 
@@ -165,14 +172,14 @@ class LayerReader(DataSourceReader):
     def partitions(self) -> list[Blocks]:
         store, root = filesystem(self.path)
         out = []
-        for name in listed(store, root):
+        for name, first in listed(store, root).items():
             if not self.fits(file=name):
                 continue
             with store.open_input_file(f"{root}/{name}") as file:
                 for number, begin, frame in frames(file):
                     down, across = frame.blocks
-                    asked = [(bi, bj) for bi in range(down) for bj in range(across) if self.fits(frame=number, bi=bi, bj=bj)]
-                    out += [Blocks(name, number, begin, tuple(frame), asked[lo : lo + BLOCKS]) for lo in range(0, len(asked), BLOCKS)]
+                    asked = [(bi, bj) for bi in range(first, first + down) for bj in range(across) if self.fits(frame=number, bi=bi, bj=bj)]
+                    out += [Blocks(name, number, begin, tuple(frame), first, asked[lo : lo + BLOCKS]) for lo in range(0, len(asked), BLOCKS)]
         return out
 
     def read(self, partition: Blocks | None) -> Iterator[pa.RecordBatch]:
@@ -183,8 +190,8 @@ class LayerReader(DataSourceReader):
         steps = np.array([k for k in range(frame.steps) if self.fits(k=k)], np.int64)
         with store.open_input_file(f"{root}/{partition.file}") as file:
             for bi, bj in partition.blocks:
-                index, codes = (file.read_at(n, partition.begin + at) for at, n in frame.ranges(bi, bj))
-                raw, value = (x[:, :, steps] for x in block_of(frame, bi, bj, index, codes))
+                index, codes = (file.read_at(n, partition.begin + at) for at, n in frame.ranges(bi - partition.first, bj))
+                raw, value = (x[:, :, steps] for x in block_of(frame, bi - partition.first, bj, index, codes))
                 i, j, k = (x.ravel() for x in np.meshgrid(np.arange(raw.shape[0]) + bi * frame.side, np.arange(raw.shape[1]) + bj * frame.side, steps, indexing="ij"))
                 n, flat = len(i), value.ravel()
                 same = [pa.array(np.full(n, x, np.int32)) for x in (partition.number, bi, bj)]
@@ -194,9 +201,24 @@ class LayerReader(DataSourceReader):
                 )
 
 
+class Part:
+    """A part of a layer that is being written: its codes, and the scale and offset of each block and step."""
+
+    def __init__(self, layer: str | None, first: int, frame: Frame) -> None:
+        self.layer, self.first, self.frame = layer, first, frame
+        self.codes = np.full((frame.rows, frame.columns, frame.steps), SENTINEL, f"<u{frame.width}")
+        self.index = {name: np.zeros((*frame.blocks, frame.steps)) for name in ("scale", "offset")}
+
+    def put(self, rows: pa.RecordBatch) -> None:
+        i, j, k = (rows.column(x).to_numpy() for x in "ijk")
+        self.codes[i, j, k] = rows.column("code").to_numpy()
+        for name, values in self.index.items():
+            values[i // self.frame.side, j // self.frame.side, k] = np.nan_to_num(rows.column(name).to_numpy(zero_copy_only=False).astype(np.float64))
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    files: dict[str, int]
 
 
 class LayerWriter(DataSourceArrowWriter):
@@ -204,51 +226,42 @@ class LayerWriter(DataSourceArrowWriter):
         self.path, self.bits, self.side, self.delta, self.overwrite = path, bits, side, delta, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """The task's layers, which come sorted; one is held at a time."""
+        """The task's parts, which come sorted, each behind a row with its frame; one is held at a time, and of its rows one batch."""
         store, root = filesystem(self.path)
         store.create_dir(root, recursive=True)
-        files, held, layer = [], [], None
+        files, part = {}, None
 
         def finish() -> None:
-            if held:
-                files.append(f"{layer}-{uuid.uuid4().hex[:12]}.mwl")
-                with store.open_output_stream(f"{root}/{files[-1]}", compression=None) as out:
-                    out.write(self.framed(pa.Table.from_batches(held)))
-                held.clear()
+            if part:
+                name = f"{part.layer}-{uuid.uuid4().hex[:12]}.mwl"
+                files[name] = part.first // self.side
+                with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(frame_bytes(part.frame, part.codes, part.index["scale"], part.index["offset"]))
 
         for batch in iterator:
-            names = batch.column("layer").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(names)], strict=True):
-                if names[lo] != layer:
+            heads = np.flatnonzero(batch.column("frame").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for n, (lo, hi) in enumerate(zip([0, *heads], [*heads, batch.num_rows], strict=True)):
+                if n:
                     finish()
-                    layer = names[lo]
-                held.append(batch.slice(lo, hi - lo))
+                    first, *shape = batch.column("frame")[lo].as_py().values()
+                    part, lo = Part(batch.column("layer")[lo].as_py(), first, self.frame(*shape)), lo + 1
+                if hi > lo:
+                    part.put(batch.slice(lo, hi - lo))
         finish()
         return Written(files)
 
-    def framed(self, rows: pa.Table) -> bytes:
-        i, j, k = (rows[x].to_numpy() for x in "ijk")
-        first = {x: rows[x][0].as_py() for x in ("lat0", "lon0", "lat_step", "lon_step", "t0", "dt")}
-        shape = int(i.max()) + 1, int(j.max()) + 1, int(k.max()) + 1
-        frame = Frame(self.bits, 0, 0, int(self.delta), first["lat0"], first["lon0"], first["lat_step"], first["lon_step"], shape[0], shape[1], self.side, first["t0"], first["dt"], shape[2])
-        codes = np.full(shape, SENTINEL, np.int64)
-        codes[i, j, k] = rows["code"].to_numpy()
-        index = []
-        for name in ("scale", "offset"):
-            values = np.zeros((*frame.blocks, shape[2]))
-            values[i // self.side, j // self.side, k] = np.nan_to_num(rows[name].to_numpy(zero_copy_only=False).astype(np.float64))
-            index.append(values)
-        return frame_bytes(frame, codes, *index)
+    def frame(self, rows: int, columns: int, steps: int, lat0: float, lon0: float, lat_step: float, lon_step: float, t0: float, dt: float) -> Frame:
+        return Frame(self.bits, 0, 0, int(self.delta), lat0, lon0, lat_step, lon_step, rows, columns, self.side, t0, dt, steps)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = filesystem(self.path)
         store.create_dir(root, recursive=True)
-        names = [] if self.overwrite else listed(store, root)
-        names = sorted({*names, *(x for m in messages if m for x in m.files)})
+        names = {} if self.overwrite else listed(store, root)
+        for m in messages:
+            names |= m.files if m else {}
         part = f"{root}/.{MANIFEST}.{uuid.uuid4().hex}"
         with store.open_output_stream(part, compression=None) as out:
-            out.write(json.dumps(names).encode())
+            out.write(json.dumps(names, sort_keys=True).encode())
         store.move(part, f"{root}/{MANIFEST}")
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -280,9 +293,19 @@ def registered(spark: SparkSession) -> SparkSession:
 
 
 def write_layers(rows: DataFrame, folder: str, bits: int = 8, side: int = 32, delta: bool = False, mode: str = "append") -> None:
-    """Writes the layers of rows (see ROWS), a file each; a layer's nodes are held by one task at a time, so a layer is what a file is meant to be."""
+    """Writes the layers of rows (see ROWS). A layer of PART nodes or fewer is a file, a larger one is cut between rows of blocks into parts, a file each; so a
+    task holds a part's codes, however large the layer. Parts without nodes are written too, as the grid reaches from 0 to the last row, column and step."""
     registered(rows.sparkSession)
-    dealt = rows.selectExpr(*[f"cast({x.rsplit(' ', 1)[0]} as {x.rsplit(' ', 1)[1]}) as {x.rsplit(' ', 1)[0]}" for x in ROWS.split(", ")]).repartition("layer").sortWithinPartitions("layer")
+    rows = rows.selectExpr(*[f"cast({x.rsplit(' ', 1)[0]} as {x.rsplit(' ', 1)[1]}) as {x.rsplit(' ', 1)[0]}" for x in ROWS.split(", ")])
+    place = [F.first(x).alias(x) for x in ("lat0", "lon0", "lat_step", "lon_step", "t0", "dt")]  # each alone: a struct of them would sort all rows
+    layers = rows.groupBy(F.col("layer").alias("name")).agg(*[(F.max(x) + 1).cast("int").alias(n) for x, n in (("i", "rows"), ("j", "columns"), ("k", "steps"))], *place)
+    layers = layers.withColumn("high", side * F.greatest(F.lit(1), F.floor(PART / (F.lit(side) * F.col("columns").cast("long") * F.col("steps")))))  # rows of a part
+    first = (F.col("part") * F.col("high")).alias("first")
+    frame = F.struct(first, F.least(F.col("high"), F.col("rows") - first).alias("rows"), "columns", "steps", (F.col("lat0") + first * F.col("lat_step")).alias("lat0"), "lon0", "lat_step", "lon_step", "t0", "dt")
+    heads = layers.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / F.col("high"))))).select(F.col("name").alias("layer"), "part", frame.alias("frame"))
+    cells = rows.join(F.broadcast(layers.select("name", "high")), F.col("layer").eqNullSafe(F.col("name")))  # a row a layer, fewer than the manifest has
+    cells = cells.select("layer", F.floor(F.col("i") / F.col("high")).alias("part"), *[x.cast("int").alias(n) for n, x in (("i", F.col("i") % F.col("high")), ("j", F.col("j")), ("k", F.col("k")))], "code", "scale", "offset")
+    dealt = cells.unionByName(heads, allowMissingColumns=True).repartition("layer", "part").sortWithinPartitions("layer", "part", F.col("frame").isNull())
     dealt.write.format("layers").mode(mode).options(path=folder, bits=bits, side=side, delta=str(delta).lower()).save()
 
 
