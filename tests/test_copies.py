@@ -117,3 +117,14 @@ def test_chords_meet_areas_alike_once(spark, monkeypatch):
     low, shallow = ["for-lav-luftspenn", "vernesone-aktiv"], "grunnere-enn-sikkerhetskontur"
     assert found == {1: ("no-go", [shallow, *low]), 2: ("no-go", [shallow, *low]), 3: ("no-go", [shallow, *low]), 4: ("usikkert", ["utenfor-farled-lav-tetthet"]), 5: ("no-go", ["skjaer-buffer"]), 6: ("no-go", [shallow, *low])}
     assert seen == [(5, 2)]  # chords and areas unlike
+
+
+def test_routes_through_the_same_places_are_met_once(spark, monkeypatch):
+    rows = [(r, i, lat, lon) for r, way in ((1, [(0.5, 0.5), (0.5, 0.6)]), (2, [(0.5, 0.6), (0.5, 0.5)]), (3, [(0.5, 1.04), (0.5, 1.06)]), (4, [(9.0, 9.0)])) for r in (r, r + 10, r + 20) for i, (lat, lon) in enumerate(way)]
+    steps = spark.createDataFrame(rows, "route int, seq int, lat double, lon double")
+    seen, plain = [], K.stretches
+    monkeypatch.setattr(K, "stretches", lambda steps, *rest: seen.append(steps.select("route").distinct().count()) or plain(steps, *rest))
+    found = K.alerts_near(steps, squares(spark, 3), "box", 0.1).collect()
+    assert seen == [4]
+    assert sorted((r.route, r.box) for r in found) == sorted((r + n, b) for r in (1, 2, 3) for n in (0, 10, 20) for b in (0, 2, 4))
+    assert all((r.nm == 0) == (r.route % 10 < 3) for r in found) and len({r.nm for r in found if r.route % 10 == 3}) == 1
