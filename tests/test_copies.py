@@ -12,7 +12,9 @@ from tidewright.operators import grid as G
 from tidewright.operators import overlay as O
 from tidewright.operators import rings as R
 from tidewright.operators import spatial as P
+from tidewright.plans import voyage
 from tidewright.plans.charting import once
+from tidewright.plans.proxies import positions
 
 RING = "array(struct(0.0D AS x, 0.0D AS y), struct(1.0D AS x, 0.0D AS y), struct(1.0D AS x, 1.0D AS y), struct(0.0D AS x, 1.0D AS y))"
 
@@ -128,3 +130,12 @@ def test_routes_through_the_same_places_are_met_once(spark, monkeypatch):
     assert seen == [4]
     assert sorted((r.route, r.box) for r in found) == sorted((r + n, b) for r in (1, 2, 3) for n in (0, 10, 20) for b in (0, 2, 4))
     assert all((r.nm == 0) == (r.route % 10 < 3) for r in found) and len({r.nm for r in found if r.route % 10 == 3}) == 1
+
+
+def test_masked_segments_come_by_place(spark):
+    sf = "/root/testdata/sf0.001"
+    order = {}
+    for r in voyage.rect_mask_segments(spark, sf).select("event_id", F.spark_partition_id().alias("task")).collect():
+        order.setdefault(r.task, []).append(r.event_id)
+    place = {r.event_id: (r.lat, r.lon) for r in positions(spark, sf).select("event_id", "lat", "lon").collect()}
+    assert order and all([place[e] for e in events] == sorted(place[e] for e in events) for events in order.values())
